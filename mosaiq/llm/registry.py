@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sql
+from . import bpe, exact_dedup, mixing, pii, sql
 from .common import read_documents
 
 
@@ -11,14 +11,24 @@ def op2_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_bpe(spark, sf_dir):
+    return bpe.token_digests(bpe.encode_documents(read_documents(spark, sf_dir)))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read_documents(spark, sf_dir))
 
 
+def op10_pii(spark, sf_dir):
+    return pii.span_digests(pii.find_personal_data(read_documents(spark, sf_dir)))
+
+
 def queries():
     return {
         "op2_mixing": op2_mixing,
+        "op4_bpe": op4_bpe,
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_pii": op10_pii,
     }
 
 
