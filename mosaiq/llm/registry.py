@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, pii, sql
+from pyspark.sql import functions as F
+
+from . import bpe, exact_dedup, language, mixing, pii, sql, toxicity
 from .common import read_documents
 
 
@@ -15,6 +17,35 @@ def op4_bpe(spark, sf_dir):
     return bpe.token_digests(bpe.encode_documents(read_documents(spark, sf_dir)))
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = read_documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id",
+        toxicity.is_held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
+def op7_language(spark, sf_dir):
+    docs = read_documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs), host=F.col("source"))
+
+
+def language_of_pages(spark, sf_dir):
+    """The same operator where markup and addresses exist: web pages, with text models from documents."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host, domain, suffix = language.host_levels(F.col("url"))
+    bare = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1)
+    model = language.train(read_documents(spark, sf_dir))
+    return language.identify(
+        pages.withColumn("text", bare), model, id_col="page_id", host=host, domain=domain, suffix=suffix, declared=declared
+    )
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read_documents(spark, sf_dir))
 
@@ -27,8 +58,11 @@ def queries():
     return {
         "op2_mixing": op2_mixing,
         "op4_bpe": op4_bpe,
+        "op6_toxicity": op6_toxicity,
+        "op7_language": op7_language,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_pii": op10_pii,
+        "language_of_pages": language_of_pages,
     }
 
 
