@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from mosaiq.plans.workspace import Workspace, fits
 
 from .arrow import raw, slices
-from .common import text_or_empty
+from .common import BROADCAST_ROWS, text_or_empty
 
 MAX_ROWS = 4_000
 MAX_LANGUAGES = 64
@@ -225,3 +225,24 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
             (F.col("letters") & (F.col("posterior") >= min_posterior)).alias("kept"),
         )
     )
+
+
+def keep_identified(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", **evidence) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with all their columns.
+
+    Rows are told apart by id, text and host, so repeated or null ids do no harm. The rejected are
+    broadcast if they are few, else joined.
+    """
+    host = evidence.get("host")
+    key = F.struct(
+        F.col(id_col).alias("i"),
+        F.xxhash64(text_or_empty(text_col)).alias("t"),
+        (F.lit(None).cast("string") if host is None else host.cast("string")).alias("h"),
+    )
+    keyed = docs.withColumn("_key", key)
+    ws = Workspace(docs.sparkSession, "language-rejects")
+    judged = identify(keyed, model, "_key", text_col, **evidence)
+    rejected = ws.save(judged.filter("not kept").select(F.col("_key").alias("_gone")).distinct(), "rejected")
+    if fits(rejected, BROADCAST_ROWS):
+        rejected = F.broadcast(rejected)
+    return keyed.join(rejected, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti").drop("_key")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, pii, sql, toxicity
+import corpus_pipeline
+
+from . import bpe, exact_dedup, language, minhash, mixing, pii, sql, toxicity
 from .common import read_documents
 
 
@@ -17,6 +19,10 @@ def op4_bpe(spark, sf_dir):
     return bpe.token_digests(bpe.encode_documents(read_documents(spark, sf_dir)))
 
 
+def op5_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read_documents(spark, sf_dir))
+
+
 def op6_toxicity(spark, sf_dir):
     docs = read_documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -58,11 +64,13 @@ def queries():
     return {
         "op2_mixing": op2_mixing,
         "op4_bpe": op4_bpe,
+        "op5_minhash": op5_minhash,
         "op6_toxicity": op6_toxicity,
         "op7_language": op7_language,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_pii": op10_pii,
         "language_of_pages": language_of_pages,
+        "pipeline": corpus_pipeline.run,
     }
 
 
