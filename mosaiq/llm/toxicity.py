@@ -45,6 +45,9 @@ MIN_G = 20.0
 MIN_PURITY = 0.75
 SIGNIFICANCE = 0.01
 THRESHOLD = 0.7
+#: Bytes of text whose features are held at once, and words whose scores are remembered, in a task.
+TRAINING_SLICE = 1 << 18
+MEMO_WORDS = 200_000
 _EDGE = ".,;:!?|%&#$*()[]{}\"'"
 
 
@@ -71,7 +74,7 @@ class Model:
 
         class Memo(dict):
             def __missing__(memo, word):
-                if len(memo) > 500_000:
+                if len(memo) > MEMO_WORDS:
                     memo.clear()
                 found = max((scores[f] for f in features(word) if f in scores), default=0.0)
                 memo[word] = found
@@ -149,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def marks(keep):
         def work(batches):
-            for batch in slices(batches):
+            for batch in slices(batches, "text", TRAINING_SLICE):
                 out, tox = [], []
                 for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     words = set(text.decode("utf-8", "replace").lower().split())
