@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, language, minhash, mixing, pii, sql, toxicity
+from . import bpe, exact_dedup, language, minhash, mixing, pii, sql, suffix, toxicity
 from .common import read_documents
 
 
@@ -15,6 +15,10 @@ def op2_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_suffix(spark, sf_dir):
+    return suffix.span_digests(suffix.remove_repeats(read_documents(spark, sf_dir)))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.token_digests(bpe.encode_documents(read_documents(spark, sf_dir)))
 
@@ -63,6 +67,7 @@ def op10_pii(spark, sf_dir):
 def queries():
     return {
         "op2_mixing": op2_mixing,
+        "op3_suffix": op3_suffix,
         "op4_bpe": op4_bpe,
         "op5_minhash": op5_minhash,
         "op6_toxicity": op6_toxicity,
