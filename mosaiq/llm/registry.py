@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, language, minhash, mixing, pii, sql, suffix, toxicity
+from . import bpe, exact_dedup, language, media, minhash, mixing, pii, sql, suffix, toxicity
 from .common import read_documents
 
 
+def op1_media(spark, sf_dir):
+    return media.media_features(read_documents(spark, sf_dir))
+
+
 def op2_mixing(spark, sf_dir):
     mixed = mixing.mix(read_documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +70,7 @@ def op10_pii(spark, sf_dir):
 
 def queries():
     return {
+        "op1_media": op1_media,
         "op2_mixing": op2_mixing,
         "op3_suffix": op3_suffix,
         "op4_bpe": op4_bpe,
