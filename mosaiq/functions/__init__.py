@@ -1 +1 @@
-
+"""Vector arithmetic as column expressions (``vectors``) and as Arrow/numpy kernels (``dense``)."""

@@ -1 +1 @@
-
+"""Where documents, queries and stored indexes come from."""

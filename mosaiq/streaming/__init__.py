@@ -1 +1 @@
-
+"""Appending to an index from a stream."""
