@@ -255,8 +255,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seeds = ws.save(seeds, "seeds")
     kinds, total = seeds.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = min(max(int(np.ceil(np.log2(max(16 * kinds, 1)))), MIN_BITS), MAX_BITS)
-    slot = F.shiftrightunsigned(F.col("seed"), 64 - bits)
-    words = seeds.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(seed, %d) & 63 as int))" % (64 - bits)).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    # The lowest bits of a minimizer's hash: the highest are small, as it is a minimum.
+    slot = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
+    words = seeds.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(seed & 63 as int))").alias("m"))
+    words = words.groupBy("w").agg(F.bit_or("m").alias("m"))
     known = np.zeros(max(1 << (bits - 6), 1), np.uint64)
     for batch in words.toArrow().to_batches():
         known[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
@@ -284,7 +286,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             docs_, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for piece, start, hashes, place, low, high in blocks(flat, ends, length):
                 seed = hashes[place]
-                slot_ = seed >> np.uint64(64 - bits)
+                slot_ = seed & np.uint64((1 << bits) - 1)
                 keep = (known[(slot_ >> np.uint64(6)).astype(np.int64)] >> (slot_ & np.uint64(63))) & np.uint64(1) > 0
                 if not keep.any():
                     continue
