@@ -10,9 +10,10 @@ linked if their sets' Jaccard similarity is at least 0.75, and groups are connec
    sequentially: 32 minima at a time are compared, and a pair is pruned as soon as the posterior
    probability of a similarity of at least 0.75 falls below ``miss``. Survivors are verified on
    full sets.
-4. Buckets whose members lie in several components are starred again around another member, for a few
-   rounds. In whatever buckets still hold several components, all pairs across components are
-   verified, so no link is lost. Members of one component need no comparison: it can't change the result.
+4. Buckets whose members then lie in several components are starred again around another member. In
+   whatever buckets still hold several components, all pairs across components are compared, in blocks
+   of ``BLOCK`` members that travel with their minima, so no link is lost and pairs that the posterior
+   prunes are never rows. Members of one component need no comparison: it can't change the result.
 
 Sets are compared by 64-bit hashes of their shingles. Edge cases: a null text or one without words has
 an empty set and is linked with nothing; with fewer than five words the whole sequence is the one
@@ -45,8 +46,10 @@ MINIMA = BANDS * ROWS
 MISS = 1e-6
 #: Minima compared at a time.
 STEP = 32
-#: Stars around further members before the remaining pairs across components are listed.
-ROUNDS = 4
+#: Stars around one member of each bucket before all pairs across components are compared.
+ROUNDS = 2
+#: Members of a bucket that are compared in one group.
+BLOCK = 512
 
 
 def _sets(batch: pa.RecordBatch, column: str = "text"):
@@ -118,21 +121,75 @@ def least_matches(threshold: float = THRESHOLD, miss: float = MISS) -> dict[int,
     return out
 
 
+def _alive(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The places of pairs of minima that are not pruned."""
+    alive = np.arange(len(one))
+    matches = np.zeros(len(one), np.int64)
+    for n, least in least_matches().items():
+        part = slice(n - STEP, n)
+        matches[alive] += (one[alive, part] == two[alive, part]).sum(1)
+        alive = alive[matches[alive] >= least]
+    return alive
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINIMA)
+
+
 def _prune(batches):
-    limits = least_matches()
+    for batch in batches:
+        if batch.num_rows:
+            keep = np.zeros(batch.num_rows, bool)
+            keep[_alive(_bytes(batch.column(2)), _bytes(batch.column(3)))] = True
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+
+def _across(batches):
+    """Pairs that stay among rows sorted by group (bucket, i, j): those across labels and, if i < j, across blocks."""
+
+    def pairs(table):
+        i, j, block, node, label = (table.column(k).to_numpy() for k in ("i", "j", "block", "node", "label"))
+        minima = _bytes(table.column("minima"))
+        key = np.stack([table.column("bucket").to_numpy(), i, j], 1)
+        edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        for a, b in zip([0, *edge], [*edge, len(node)]):
+            if b - a < 2:
+                continue
+            x, y = np.triu_indices(b - a, 1)
+            x, y = x + a, y + a
+            wanted = label[x] != label[y]
+            if i[a] != j[a]:
+                wanted &= block[x] != block[y]
+            x, y = x[wanted], y[wanted]
+            for k in range(0, len(x), 1 << 18):
+                u, v = x[k : k + (1 << 18)], y[k : k + (1 << 18)]
+                stay = _alive(minima[u], minima[v])
+                yield node[u[stay]], node[v[stay]]
+
+    rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MINIMA) for k in (2, 3))
-        alive = np.arange(batch.num_rows)
-        matches = np.zeros(batch.num_rows, np.int64)
-        for n, least in limits.items():
-            part = slice(n - STEP, n)
-            matches[alive] += (one[alive, part] == two[alive, part]).sum(1)
-            alive = alive[matches[alive] >= least]
-        keep = np.zeros(batch.num_rows, bool)
-        keep[alive] = True
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        last = [table.column(k)[-1].as_py() for k in ("bucket", "i", "j")]
+        same = np.ones(table.num_rows, bool)
+        for k, value in zip(("bucket", "i", "j"), last):
+            same &= table.column(k).to_numpy() == value
+        cut = table.num_rows - int(same[::-1].argmin() if not same.all() else table.num_rows)
+        rest = table.slice(cut).combine_chunks()
+        yield from _unique(pairs(table.slice(0, cut).combine_chunks()))
+    if rest is not None:
+        yield from _unique(pairs(rest))
+
+
+def _unique(found):
+    """Pairs (smaller, larger) without repeats, one batch for all groups at hand."""
+    found = list(found)
+    if found:
+        a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
 def _confirm(batches):
@@ -171,14 +228,28 @@ class Linker:
         shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
         return self.ws.save(spread.join(shared, "bucket"), "buckets")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that sequential verification doesn't prune."""
         pairs = self.ws.save(pairs, self.name("pairs"))
         marks = self.nodes.select("row", "minima")
         sides = pairs.join(marks.select(F.col("row").alias("a"), F.col("minima").alias("x")), "a").join(
             marks.select(F.col("row").alias("b"), F.col("minima").alias("y")), "b"
         )
-        likely = self.ws.save(sides.select("a", "b", "x", "y").mapInArrow(_prune, "a long, b long"), self.name("likely"))
+        return sides.select("a", "b", "x", "y").mapInArrow(_prune, "a long, b long")
+
+    def likely_across(self, members: DataFrame) -> DataFrame:
+        """The same of all pairs across labels in the buckets of ``members`` (bucket, node, label, n)."""
+        marks = self.nodes.select(F.col("row").alias("node"), "minima")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        placed = members.join(marks, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        groups = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "minima")
+        groups = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        return groups.mapInArrow(_across, "a long, b long").distinct()
+
+    def confirm(self, likely: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets are similar enough."""
+        likely = self.ws.save(likely, self.name("likely"))
         sets = self._full_sets(likely)
         sides = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("members").alias("two")), "b"
@@ -226,21 +297,19 @@ class Linker:
             if label is not None:
                 members = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
             open_ = members.groupBy("bucket").agg(
-                F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("center")
+                F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("center")
             ).filter("low < high")
             if turn == 0:
                 open_ = open_.withColumn("center", F.struct(F.lit(0).alias("h"), F.col("low").alias("node"), F.col("low").alias("label")))
-            open_ = ws.save(open_.select("bucket", F.col("center.node").alias("c"), F.col("center.label").alias("of")), self.name("open"))
+            open_ = ws.save(open_.select("bucket", "n", F.col("center.node").alias("c"), F.col("center.label").alias("of")), self.name("open"))
             if open_.isEmpty():
                 break
             across = members.join(open_, "bucket")
             if turn < ROUNDS:
                 pairs = across.filter("label != of").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"))
+                links = self.confirm(self.likely(pairs.distinct()))
             else:
-                side = across.select("bucket", "node", "label")
-                other = side.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
-                pairs = side.join(other, "bucket").filter("label < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-            links = self.verify(pairs.distinct())
+                links = self.confirm(self.likely_across(across.select("bucket", "node", "label", "n")))
             if label is None:
                 label = ws.save(components(ws, links, self.name("cc")), self.name("labels"))
                 continue
