@@ -135,16 +135,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     seen = ws.save(rows.mapInArrow(describe, f"doc_id {kind}, tag long, media binary, n_bytes long, names array<binary>"), "manifests")
     who = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("tag").alias("tag"))
-    media = ws.save(seen.groupBy("media").agg(F.min(who).alias("keeper"), F.first("names").alias("names")), "distinct")
-    uses = media.select("media", F.explode("names").alias("name")).distinct()
-    chunks = uses.groupBy("name").agg(F.min("media").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    chunks = ws.save(chunks, "shared")
-    roles = uses.join(chunks, "name").groupBy("media").agg(
-        F.collect_list(F.when(F.col("media") != F.col("owner"), F.struct("name", "n"))).alias("borrowed"),
-        F.collect_list(F.when(F.col("media") == F.col("owner"), F.struct("name", "n"))).alias("lent"),
+    media = seen.groupBy("media").agg(F.min(who).alias("keeper"), F.first("names").alias("names"))
+    media = ws.save(media.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    uses = media.select("id", F.explode(F.array_distinct("names")).alias("name"))
+    chunks = ws.save(uses.groupBy("name").agg(F.min("id").alias("owner"), F.count("*").alias("n")).filter("n > 1"), "shared")
+    parts = uses.join(chunks, "name").groupBy("id").agg(
+        F.collect_list(F.when(F.col("id") != F.col("owner"), F.struct("name", "n"))).alias("borrowed"),
+        F.collect_list(F.when(F.col("id") == F.col("owner"), F.struct("name", "n"))).alias("lent"),
     )
     # Rows of the second pass that don't just store all they have.
-    owners = media.select("media", "keeper").join(roles, "media", "left")
+    owners = media.select("id", "media", "keeper").join(parts, "id", "left").drop("id")
     odd = (
         seen.select("doc_id", "tag", "media").join(owners, "media")
         .withColumn("skip", ~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("tag") == F.col("keeper.tag"))))
@@ -185,58 +185,71 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     return seen.select("doc_id", "media", "n_bytes"), stored
 
 
-def restore(stored: DataFrame) -> DataFrame:
-    """(media, manifest, samples) put together from stored chunks and verified."""
+def _parted(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored media that borrow nothing, and the others with the chunks that they borrow (``got``)."""
     salts = F.ceil(F.col("c.n") / SALT).cast("int")
     lent = stored.select(F.explode("owned").alias("c")).filter("c.n > 0").select("c.name", "c.body", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     wants = stored.filter("size(borrowed) > 0").select("media", F.explode("borrowed").alias("c")).select(
         "media", "c.name", F.pmod(F.xxhash64("media"), salts).cast("int").alias("salt")
     )
     got = wants.join(lent, ["name", "salt"]).groupBy("media").agg(F.collect_list(F.struct("name", "body")).alias("got"))
-    columns = ["media", "n_bytes", "names", "sizes", "owned"]
+    columns = ["media", "n_bytes", "names", "sizes", F.transform("owned", lambda c: F.struct(c["name"].alias("name"), c["body"].alias("body"))).alias("owned")]
     none = F.lit(None).cast("array<struct<name:binary,body:binary>>")
     whole = stored.filter("size(borrowed) = 0").select(*columns, none.alias("got"))
-    parted = stored.filter("size(borrowed) > 0").select(*columns).join(got, "media").select(*columns, "got")
-
-    def build(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                media, heads, bodies = [], [], []
-                for row in batch.slice(k, 256).to_pylist():
-                    have = {c["name"]: c["body"] for c in row["owned"] + (row["got"] or [])}
-                    for name, body in have.items():
-                        if digest(body) != name:
-                            raise ValueError("a stored chunk differs from its digest")
-                    body = b"".join(map(have.__getitem__, row["names"]))
-                    head = manifest(row["n_bytes"], row["names"], row["sizes"])
-                    if len(body) != sum(row["sizes"]) or hashlib.sha256(head).digest() != row["media"]:
-                        raise ValueError("a stored media differs from its manifest")
-                    media.append(row["media"])
-                    heads.append(head)
-                    bodies.append(body)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (media, heads, bodies)], ["media", "manifest", "samples"])
-
-    schema = "media binary, manifest binary, samples binary"
-    return whole.mapInArrow(build, schema).unionByName(parted.mapInArrow(build, schema))
-
-
-def described(restored: DataFrame) -> DataFrame:
+    return whole, stored.filter("size(borrowed) > 0").select(*columns).join(got, "media").select("media", "n_bytes", "names", "sizes", "owned", "got")
+
+
+def rebuilt(batches, rows: int = 64):
+    """Lists of (media, manifest, samples), a few rows at a time: chunks put together and verified."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            out = []
+            for row in batch.slice(k, rows).to_pylist():
+                have = {c["name"]: c["body"] for c in row["owned"] + (row["got"] or [])}
+                for name, body in have.items():
+                    if digest(body) != name:
+                        raise ValueError("a stored chunk differs from its digest")
+                body = b"".join(map(have.__getitem__, row["names"]))
+                head = manifest(row["n_bytes"], row["names"], row["sizes"])
+                if len(body) != sum(row["sizes"]) or hashlib.sha256(head).digest() != row["media"]:
+                    raise ValueError("a stored media differs from its manifest")
+                out.append((row["media"], head, body))
+            yield out
+
+
+def _run(stored: DataFrame, work, schema: str) -> DataFrame:
+    whole, parted = _parted(stored)
+    return whole.mapInArrow(work, schema).unionByName(parted.mapInArrow(work, schema))
+
+
+def restore(stored: DataFrame) -> DataFrame:
+    """(media, manifest, samples) put together from stored chunks and verified."""
+
+    def work(batches):
+        for rows in rebuilt(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["media", "manifest", "samples"])
+
+    return _run(stored, work, "media binary, manifest binary, samples binary")
+
+
+def described(stored: DataFrame) -> DataFrame:
     """(media, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of samples read back."""
 
+    def describe(media: bytes, head: bytes, body: bytes) -> tuple:
+        whole = hashlib.sha256(head)
+        whole.update(body)
+        return media, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]), len(head) + len(body), whole.hexdigest(), features(np.frombuffer(body, np.uint8))
+
     def work(batches):
-        for batch in batches:
-            rows = []
-            for media, head, body in zip(*(c.to_pylist() for c in batch.columns)):
-                stored = hashlib.sha256(head)
-                stored.update(body)
-                rows.append((media, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]), len(head) + len(body), stored.hexdigest(), features(np.frombuffer(body, np.uint8))))
-            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for rows in rebuilt(batches):
+            columns = zip(*(describe(*row) for row in rows))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return restored.mapInArrow(work, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _run(stored, work, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_bytes and the description of its media as read back from the store."""
     seen, stored = store(docs, id_col, text_col)
-    return seen.join(described(restore(stored)), "media").drop("media")
+    return seen.join(described(stored), "media").drop("media")
