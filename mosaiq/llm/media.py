@@ -46,7 +46,7 @@ BROADCAST_BYTES = 32 << 20
 #: Borrowers of a chunk for each copy of it in the join.
 SALT = 1_000
 MAGIC = b"CDC1"
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def payloads(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
