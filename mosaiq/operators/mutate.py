@@ -18,11 +18,11 @@ def distances(tokens: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def outliers(tokens: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
-    """Tokens farther than ``threshold`` from every centroid."""
-    return distances(tokens, centroids).filter(F.col("dist") > threshold * threshold)
+    """Tokens farther than ``threshold`` from every centroid; a difference below 1e-9 is none."""
+    return distances(tokens, centroids).filter(F.round("dist", 9) > round(threshold * threshold, 9))
 
 
-def expand(tokens: DataFrame, centroids: np.ndarray, threshold: float, iterations: int = 4, max_points: int = 256, seed: int = 42) -> np.ndarray:
+def expand(tokens: DataFrame, centroids: np.ndarray, threshold: float, iterations: int = 4, max_points: int = 256, seed: int = 42, order=None) -> np.ndarray:
     """``centroids`` followed by new ones for the outliers among ``tokens``; existing codes stay valid."""
     far = outliers(tokens, centroids, threshold).select("doc_id", "pos", "v").persist()
     try:
@@ -30,7 +30,7 @@ def expand(tokens: DataFrame, centroids: np.ndarray, threshold: float, iteration
         if not n:
             return centroids
         k = min(kmeans.expanded_count(n, max_points), n)
-        return np.concatenate([centroids, dense.unit(kmeans.train(far, k, iterations, seed))])
+        return np.concatenate([centroids, dense.unit(kmeans.train(far, k, iterations, seed, order=order))])
     finally:
         far.unpersist()
 

@@ -83,3 +83,24 @@ def dense_names(ws: Workspace, df: DataFrame, cols: list[str], table: str, out:
 def fits(df: DataFrame, limit: int) -> bool:
     """True if ``df`` has at most ``limit`` rows; reads no more than that many of them."""
     return df.limit(limit + 1).count() <= limit
+
+
+def prefix_sums(ws: Workspace, df: DataFrame, key: str, value: str, table: str, out: str = "offset") -> DataFrame:
+    """``df`` (unique ``key``) with the sum of ``value`` over all rows with smaller keys.
+
+    As for dense names, partitions are ranges of the key: a running sum within each, plus the totals of
+    all earlier partitions.
+    """
+    from pyspark.sql import Window
+
+    ranged = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    ranged = ws.save(ranged, table)
+    totals = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.sum(value).alias("n")).collect()}
+    starts, total = [], 0
+    for part in sorted(totals):
+        starts.append((part, total))
+        total += totals[part]
+    before = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ws.spark.createDataFrame(starts, "_part int, _start long")
+    summed = ranged.withColumn("_own", F.coalesce(F.sum(value).over(before), F.lit(0))).join(F.broadcast(offsets), "_part")
+    return summed.select(*df.columns, (F.col("_start") + F.col("_own")).alias(out))
