@@ -11,9 +11,10 @@ linked if their sets' Jaccard similarity is at least 0.75, and groups are connec
    probability of a similarity of at least 0.75 falls below ``miss``. Survivors are verified on
    full sets.
 4. Buckets whose members then lie in several components are starred again around another member. In
-   whatever buckets still hold several components, all pairs across components are compared, in blocks
+   whatever buckets still hold several components, all pairs across components are compared in groups
    of ``BLOCK`` members that travel with their minima, so no link is lost and pairs that the posterior
-   prunes are never rows. Members of one component need no comparison: it can't change the result.
+   prunes are never rows. Groups of large buckets carry the full sets too and verify in place. Members
+   of one component need no comparison: it can't change the result.
 
 Sets are compared by 64-bit hashes of their shingles. Edge cases: a null text or one without words has
 an empty set and is linked with nothing; with fewer than five words the whole sequence is the one
@@ -50,6 +51,8 @@ STEP = 32
 ROUNDS = 2
 #: Members of a bucket that are compared in one group.
 BLOCK = 512
+#: Members from which on a bucket's groups carry full sets.
+LARGE = 64
 
 
 def _sets(batch: pa.RecordBatch, column: str = "text"):
@@ -144,43 +147,81 @@ def _prune(batches):
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
 
-def _across(batches):
-    """Pairs that stay among rows sorted by group (bucket, i, j): those across labels and, if i < j, across blocks."""
-
-    def pairs(table):
-        i, j, block, node, label = (table.column(k).to_numpy() for k in ("i", "j", "block", "node", "label"))
-        minima = _bytes(table.column("minima"))
-        key = np.stack([table.column("bucket").to_numpy(), i, j], 1)
-        edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        for a, b in zip([0, *edge], [*edge, len(node)]):
-            if b - a < 2:
-                continue
-            x, y = np.triu_indices(b - a, 1)
-            x, y = x + a, y + a
-            wanted = label[x] != label[y]
-            if i[a] != j[a]:
-                wanted &= block[x] != block[y]
-            x, y = x[wanted], y[wanted]
-            for k in range(0, len(x), 1 << 18):
-                u, v = x[k : k + (1 << 18)], y[k : k + (1 << 18)]
-                stay = _alive(minima[u], minima[v])
-                yield node[u[stay]], node[v[stay]]
-
+def _groups(batches):
+    """Tables of rows sorted by (bucket, i, j), no group cut; with the rows' group edges."""
+    keys = ("bucket", "i", "j")
     rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-        last = [table.column(k)[-1].as_py() for k in ("bucket", "i", "j")]
         same = np.ones(table.num_rows, bool)
-        for k, value in zip(("bucket", "i", "j"), last):
-            same &= table.column(k).to_numpy() == value
-        cut = table.num_rows - int(same[::-1].argmin() if not same.all() else table.num_rows)
+        for k in keys:
+            column = table.column(k).to_numpy()
+            same &= column == column[-1]
+        cut = table.num_rows - int(same.sum())
         rest = table.slice(cut).combine_chunks()
-        yield from _unique(pairs(table.slice(0, cut).combine_chunks()))
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
     if rest is not None:
-        yield from _unique(pairs(rest))
+        yield rest
+
+
+def _pairs(table):
+    """Places of pairs that the posterior keeps: within each group those across labels and, if i < j, across blocks."""
+    i, j, block, label = (table.column(k).to_numpy() for k in ("i", "j", "block", "label"))
+    minima = _bytes(table.column("minima"))
+    key = np.stack([table.column("bucket").to_numpy(), i, j], 1)
+    edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+    for a, b in zip([0, *edge], [*edge, len(i)]):
+        if b - a < 2:
+            continue
+        x, y = np.triu_indices(b - a, 1)
+        x, y = x + a, y + a
+        wanted = label[x] != label[y]
+        if i[a] != j[a]:
+            wanted &= block[x] != block[y]
+        x, y = x[wanted], y[wanted]
+        for k in range(0, len(x), 1 << 18):
+            u, v = x[k : k + (1 << 18)], y[k : k + (1 << 18)]
+            stay = _alive(minima[u], minima[v])
+            if len(stay):
+                yield u[stay], v[stay]
+
+
+def _across(batches):
+    """Likely pairs of groups without sets."""
+    for table in _groups(batches):
+        node = table.column("node").to_numpy()
+        yield from _unique((node[x], node[y]) for x, y in _pairs(table))
+
+
+def _links_across(batches):
+    """Links of groups with sets. A pair is verified in the first bucket that it shares."""
+    for table in _groups(batches):
+        node, band = table.column("node").to_numpy(), table.column("band").to_numpy()
+        bands = table.column("bands").combine_chunks()
+        bands = (bands.chunk(0) if isinstance(bands, pa.ChunkedArray) else bands).flatten().to_numpy().reshape(-1, BANDS)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        found = []
+        for x, y in _pairs(table):
+            here = (bands[x] == bands[y]).argmax(1) == band[x]
+            x, y = x[here], y[here]
+            true = np.fromiter((_similar(sets[a], sets[b]) for a, b in zip(x.tolist(), y.tolist())), bool, len(x))
+            found.append((node[x[true]], node[y[true]]))
+        yield from _unique(found)
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < 75 * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * common >= 75 * (len(x) + len(y) - common)
 
 
 def _unique(found):
@@ -194,11 +235,9 @@ def _unique(found):
 
 def _confirm(batches):
     for batch in slices(batches, "one", 2 << 20):
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= 75 * max(len(x), len(y)) else 0
-            keep.append(100 * common >= 75 * (len(x) + len(y) - common))
+        keep = [
+            _similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        ]
         keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
@@ -222,9 +261,9 @@ class Linker:
         return f"{what}{self.step}"
 
     def buckets(self) -> DataFrame:
-        """(bucket, node) of all buckets with several members."""
+        """(bucket, band, node) of all buckets with several members."""
         spread = self.nodes.select(F.col("row").alias("node"), F.posexplode("bands").alias("band", "key"))
-        spread = spread.select("node", F.xxhash64("band", "key").alias("bucket"))
+        spread = spread.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
         shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
         return self.ws.save(spread.join(shared, "bucket"), "buckets")
 
@@ -237,29 +276,36 @@ class Linker:
         )
         return sides.select("a", "b", "x", "y").mapInArrow(_prune, "a long, b long")
 
-    def likely_across(self, members: DataFrame) -> DataFrame:
-        """The same of all pairs across labels in the buckets of ``members`` (bucket, node, label, n)."""
-        marks = self.nodes.select(F.col("row").alias("node"), "minima")
+    def _grouped(self, members: DataFrame) -> DataFrame:
+        """Rows of ``members`` (bucket, band, node, label, n, ..) in groups of at most two blocks, sorted by group."""
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        placed = members.join(marks, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        groups = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "minima")
-        groups = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        return groups.mapInArrow(_across, "a long, b long").distinct()
+        placed = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        groups = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "n")
+        return groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def links_across(self, members: DataFrame) -> DataFrame:
+        """Links across labels in the buckets of ``members`` (bucket, band, node, label, n)."""
+        members = self.ws.save(members, self.name("across"))
+        marks = self.nodes.select(F.col("row").alias("node"), "minima", "bands")
+        few = members.filter(F.col("n") <= LARGE).join(marks.drop("bands"), "node")
+        links = self.confirm(self._grouped(few).mapInArrow(_across, "a long, b long").distinct())
+        many = members.filter(F.col("n") > LARGE)
+        sets = self._full_sets(many.select(F.col("node").alias("row")))
+        many = many.join(marks, "node").join(sets, "node")
+        return self.ws.save(links.unionByName(self._grouped(many).mapInArrow(_links_across, "a long, b long")).distinct(), self.name("links"))
 
     def confirm(self, likely: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
         likely = self.ws.save(likely, self.name("likely"))
-        sets = self._full_sets(likely)
+        sets = self._full_sets(likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))))
         sides = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("members").alias("two")), "b"
         )
         return self.ws.save(sides.select("a", "b", "one", "two").mapInArrow(_confirm, "a long, b long"), self.name("links"))
 
-    def _full_sets(self, pairs: DataFrame) -> DataFrame:
-        """(node, members) of the pairs' nodes, from their texts."""
-        wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-        wanted = self.ws.save(self.nodes.join(wanted, "row").select("row", "doc_id", "k1", "k2"), self.name("wanted"))
+    def _full_sets(self, rows: DataFrame) -> DataFrame:
+        """(node, members) of the nodes in ``rows`` (row), from their texts."""
+        wanted = self.ws.save(self.nodes.join(rows.distinct(), "row").select("row", "doc_id", "k1", "k2"), self.name("wanted"))
         ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
         if fits(ids, BROADCAST_ROWS):
             ids = F.broadcast(ids)
@@ -309,7 +355,7 @@ class Linker:
                 pairs = across.filter("label != of").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"))
                 links = self.confirm(self.likely(pairs.distinct()))
             else:
-                links = self.confirm(self.likely_across(across.select("bucket", "node", "label", "n")))
+                links = self.links_across(across.select("bucket", "band", "node", "label", "n"))
             if label is None:
                 label = ws.save(components(ws, links, self.name("cc")), self.name("labels"))
                 continue
