@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+#: Rows of an Arrow batch; with texts or sets of some KB each, a batch has some MB on either side of the pipe.
+BATCH_ROWS = 1_000
 #: Bytes of text that are worked on at once in a Python task.
 SLICE_BYTES = 1 << 20
 
@@ -33,3 +35,10 @@ def raw(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     body = data.buffers()[2]
     flat = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
     return flat[ends[0] : ends[-1]], ends - ends[0]
+
+
+def limit_batches(spark, rows: int = BATCH_ROWS) -> None:
+    """Lower this session's rows per Arrow batch to ``rows``; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

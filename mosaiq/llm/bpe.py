@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import limit_batches, slices
 from .common import text_or_empty
 
 LONG_CHARS = 1 << 16
@@ -88,6 +88,8 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
         path, split = default_ranks()
         ranks, pattern = ranks or path, pattern or split
 
+    limit_batches(docs.sparkSession)
+
     def work(batches):
         own = codec(ranks, pattern, long_chars)
         for batch in slices(batches):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace, fits
 
-from .arrow import raw, slices
+from .arrow import limit_batches, raw, slices
 from .common import BROADCAST_ROWS, text_or_empty
 
 MAX_ROWS = 4_000
@@ -88,6 +88,7 @@ def _trigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> TextModel:
     """Trigram models of the languages in a bounded sample of rows."""
+    limit_batches(docs.sparkSession)
     chosen = (
         docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("_id"))
@@ -131,6 +132,7 @@ def host_levels(address: Column) -> tuple[Column, Column, Column]:
 
 def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None, max_evidence: float = MAX_EVIDENCE, declared_trust: float = DECLARED_TRUST, prior_strength: float = PRIOR_STRENGTH, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """One row a document: id, language, posterior, kept."""
+    limit_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "language")
     nothing = F.lit(None).cast("string")
     host, domain, suffix, declared = (nothing if c is None else c for c in (host, domain, suffix, declared))

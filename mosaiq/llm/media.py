@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace
 
-from .arrow import raw, slices
+from .arrow import limit_batches, raw, slices
 from .common import text_or_empty
 from .hashing import constants
 
@@ -120,6 +120,7 @@ def features(samples: np.ndarray) -> str:
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, media, n_bytes) and the stored media (media, n_bytes, names, sizes, owned, borrowed)."""
+    limit_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "media")
     text = text_or_empty(text_col).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))

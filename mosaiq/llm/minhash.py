@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace, fits
 
-from .arrow import raw, slices
+from .arrow import limit_batches, raw, slices
 from .common import BROADCAST_ROWS, text_or_empty
 from .exact_dedup import drop_ids
 from .graph import components
@@ -78,6 +78,7 @@ def _minima(members: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, tag (of the raw text), n_shingles, k1, k2, minima (one byte each), bands."""
+    limit_batches(docs.sparkSession)
     text = text_or_empty(text_col).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 

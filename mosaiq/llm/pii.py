@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import limit_batches, slices
 from .common import text_or_empty
 
 #: Kinds in the order in which spans with the same start are listed.
@@ -136,6 +136,8 @@ SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, spans (array of kind, start, end, value)."""
 
+    limit_batches(docs.sparkSession)
+
     def work(batches):
         for batch in slices(batches):
             found = []

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace
 
-from .arrow import raw, slices
+from .arrow import limit_batches, raw, slices
 from .common import text_or_empty
 from .hashing import byte_table, mix, prefixes, ranges
 
@@ -240,6 +240,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not SEED_BYTES <= length <= 1000:
         raise ValueError("strings have 32 to 1000 bytes")
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "suffix")
+    limit_batches(spark)
     text = text_or_empty(text_col).cast("binary")
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import limit_batches, slices
 from .common import text_or_empty
 
 #: The most labelled rows that training reads.
@@ -133,6 +133,7 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    limit_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
 
 
