@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, language, media, minhash, mixing, pii, sql, suffix, toxicity
+from . import bpe, exact_dedup, language, lines, media, minhash, mixing, pii, sql, suffix, toxicity
 from .common import read_documents
 
 
@@ -64,6 +64,10 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read_documents(spark, sf_dir))
 
 
+def op9_lines(spark, sf_dir):
+    return lines.line_digests(lines.remove_lines(read_documents(spark, sf_dir)))
+
+
 def op10_pii(spark, sf_dir):
     return pii.span_digests(pii.find_personal_data(read_documents(spark, sf_dir)))
 
@@ -78,6 +82,7 @@ def queries():
         "op6_toxicity": op6_toxicity,
         "op7_language": op7_language,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_lines": op9_lines,
         "op10_pii": op10_pii,
         "language_of_pages": language_of_pages,
         "pipeline": corpus_pipeline.run,

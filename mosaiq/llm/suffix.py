@@ -41,7 +41,7 @@ LENGTH = 100
 SEED_BYTES = 32
 #: Bytes that are searched at once; positions in them take 20 bits.
 PIECE = 1 << 20
-PART_ROWS = 60_000
+PART_ROWS = 20_000
 #: Bits in the table of repeated minimizers: 16 for each, within these bounds (8 KB to 64 MB).
 MIN_BITS, MAX_BITS = 16, 29
 SPLIT_SAMPLE = 50_000
