@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,7 +11,23 @@ import pyarrow as pa
 #: Rows of an Arrow batch; with texts or sets of some KB each, a batch has some MB on either side of the pipe.
 BATCH_ROWS = 1_000
 #: Bytes of text that are worked on at once in a Python task.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+
+
+def tidy(work):
+    """``work`` that gives freed memory back to the system when a task ends; worker processes live on and are many."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
+
+    return run
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import limit_batches, slices
+from .arrow import limit_batches, slices, tidy
 from .common import text_or_empty
 
 LONG_CHARS = 1 << 16
@@ -101,7 +101,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded binary")
+    return rows.mapInArrow(tidy(work), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes that are hashed at once; longer texts are cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def word_hashes(flat: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace, fits
 
-from .arrow import limit_batches, raw, slices
+from .arrow import limit_batches, raw, slices, tidy
 from .common import BROADCAST_ROWS, text_or_empty
 
 MAX_ROWS = 4_000
@@ -111,7 +111,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 at = np.nonzero(got)[0]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counts = sample.mapInArrow(work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(work), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found: dict[str, np.ndarray] = {}
     for lang, bucket, n in counts.collect():
         found.setdefault(lang, np.zeros(BUCKETS))[bucket] = n
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists, pa.array(alive)], ["_id", "host", "domain", "suffix", "declared", "evidence", "letters"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    seen = rows.mapInArrow(work, f"_id {kind}, host string, domain string, suffix string, declared string, evidence array<double>, letters boolean")
+    seen = rows.mapInArrow(tidy(work), f"_id {kind}, host string, domain string, suffix string, declared string, evidence array<double>, letters boolean")
     seen = ws.save(seen, "evidence")
     if not languages:
         return seen.select(F.col("_id").alias(id_col), nothing.alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace
 
-from .arrow import limit_batches, raw, slices
+from .arrow import limit_batches, raw, slices, tidy
 from .common import text_or_empty
 from .hashing import constants
 
@@ -46,7 +46,7 @@ BROADCAST_BYTES = 32 << 20
 #: Borrowers of a chunk for each copy of it in the join.
 SALT = 1_000
 MAGIC = b"CDC1"
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def payloads(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
                 ["doc_id", "tag", "media", "n_bytes", "names"],
             )
 
-    seen = ws.save(rows.mapInArrow(describe, f"doc_id {kind}, tag long, media binary, n_bytes long, names array<binary>"), "manifests")
+    seen = ws.save(rows.mapInArrow(tidy(describe), f"doc_id {kind}, tag long, media binary, n_bytes long, names array<binary>"), "manifests")
     who = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("tag").alias("tag"))
     media = seen.groupBy("media").agg(F.min(who).alias("keeper"), F.first("names").alias("names"))
     media = ws.save(media.withColumn("id", F.monotonically_increasing_id()), "distinct")
@@ -178,7 +178,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], ["media", "n_bytes", "names", "sizes", "owned", "borrowed"])
 
     schema = "media binary, n_bytes long, names array<binary>, sizes array<int>, owned array<struct<name:binary,body:binary,n:bigint>>, borrowed array<struct<name:binary,n:bigint>>"
-    written = todo.select("text", "borrowed", "lent").mapInArrow(write, schema)
+    written = todo.select("text", "borrowed", "lent").mapInArrow(tidy(write), schema)
     if not seen.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         written = written.dropDuplicates(["media"])  # a row that occurs twice would store its media twice
     stored = ws.save(written, "store")
@@ -220,7 +220,7 @@ def rebuilt(batches, rows: int = 64):
 
 def _run(stored: DataFrame, work, schema: str) -> DataFrame:
     whole, parted = _parted(stored)
-    return whole.mapInArrow(work, schema).unionByName(parted.mapInArrow(work, schema))
+    return whole.mapInArrow(tidy(work), schema).unionByName(parted.mapInArrow(tidy(work), schema))
 
 
 def restore(stored: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace, fits
 
-from .arrow import limit_batches, raw, slices
+from .arrow import limit_batches, raw, slices, tidy
 from .common import BROADCAST_ROWS, text_or_empty
 from .exact_dedup import drop_ids
 from .graph import components
@@ -102,7 +102,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, tag long, n_shingles long, k1 long, k2 long, minima binary, bands array<long>")
+    return rows.mapInArrow(tidy(work), f"doc_id {kind}, tag long, n_shingles long, k1 long, k2 long, minima binary, bands array<long>")
 
 
 @lru_cache(maxsize=4)
@@ -275,7 +275,7 @@ class Linker:
         sides = pairs.join(marks.select(F.col("row").alias("a"), F.col("minima").alias("x")), "a").join(
             marks.select(F.col("row").alias("b"), F.col("minima").alias("y")), "b"
         )
-        return sides.select("a", "b", "x", "y").mapInArrow(_prune, "a long, b long")
+        return sides.select("a", "b", "x", "y").mapInArrow(tidy(_prune), "a long, b long")
 
     def _grouped(self, members: DataFrame) -> DataFrame:
         """Rows of ``members`` (bucket, band, node, label, n, ..) in groups of at most two blocks, sorted by group."""
@@ -289,11 +289,11 @@ class Linker:
         members = self.ws.save(members, self.name("across"))
         marks = self.nodes.select(F.col("row").alias("node"), "minima", "bands")
         few = members.filter(F.col("n") <= LARGE).join(marks.drop("bands"), "node")
-        links = self.confirm(self._grouped(few).mapInArrow(_across, "a long, b long").distinct())
+        links = self.confirm(self._grouped(few).mapInArrow(tidy(_across), "a long, b long").distinct())
         many = members.filter(F.col("n") > LARGE)
         sets = self._full_sets(many.select(F.col("node").alias("row")))
         many = many.join(marks, "node").join(sets, "node")
-        return self.ws.save(links.unionByName(self._grouped(many).mapInArrow(_links_across, "a long, b long")).distinct(), self.name("links"))
+        return self.ws.save(links.unionByName(self._grouped(many).mapInArrow(tidy(_links_across), "a long, b long")).distinct(), self.name("links"))
 
     def confirm(self, likely: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
@@ -302,7 +302,7 @@ class Linker:
         sides = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("members").alias("two")), "b"
         )
-        return self.ws.save(sides.select("a", "b", "one", "two").mapInArrow(_confirm, "a long, b long"), self.name("links"))
+        return self.ws.save(sides.select("a", "b", "one", "two").mapInArrow(tidy(_confirm), "a long, b long"), self.name("links"))
 
     def _full_sets(self, rows: DataFrame) -> DataFrame:
         """(node, members) of the nodes in ``rows`` (row), from their texts."""
@@ -323,7 +323,7 @@ class Linker:
                         found.append(members.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(found, pa.binary())], ["k1", "k2", "members"])
 
-        sets = some.select(text_or_empty(self.text_col).cast("binary").alias("text")).mapInArrow(work, "k1 long, k2 long, members binary")
+        sets = some.select(text_or_empty(self.text_col).cast("binary").alias("text")).mapInArrow(tidy(work), "k1 long, k2 long, members binary")
         sets = sets.join(wanted.select("row", "k1", "k2"), ["k1", "k2"]).select(F.col("row").alias("node"), "members")
         if not fits(wanted.groupBy("doc_id").count().filter("count > 1"), 0) or self._repeats():
             sets = sets.dropDuplicates(["node"])

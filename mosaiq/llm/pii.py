@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import limit_batches, slices
+from .arrow import limit_batches, slices, tidy
 from .common import text_or_empty
 
 #: Kinds in the order in which spans with the same start are listed.
@@ -151,7 +151,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,value:string>>")
+    return rows.mapInArrow(tidy(work), f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,value:string>>")
 
 
 def span_digests(found: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace
 
-from .arrow import limit_batches, raw, slices
+from .arrow import limit_batches, raw, slices, tidy
 from .common import text_or_empty
 from .hashing import byte_table, mix, prefixes, ranges
 
@@ -252,7 +252,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for piece, _, hashes, place, _, _ in blocks(flat, ends, length):
                 yield pa.RecordBatch.from_arrays([pa.array(_leading(piece, place)), pa.array(hashes[place].view(np.int64))], ["lead", "seed"])
 
-    seeds = rows.select("text").mapInArrow(count, "lead long, seed long").groupBy("lead", "seed").agg(F.count("*").alias("n")).filter("n > 1")
+    seeds = rows.select("text").mapInArrow(tidy(count), "lead long, seed long").groupBy("lead", "seed").agg(F.count("*").alias("n")).filter("n > 1")
     seeds = ws.save(seeds, "seeds")
     kinds, total = seeds.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = min(max(int(np.ceil(np.log2(max(16 * kinds, 1)))), MIN_BITS), MAX_BITS)
@@ -324,8 +324,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ["doc", "tag", "start", "stop", "seed", "away", "word"],
                 )
 
-    spread = rows.mapInArrow(scatter, "part int, lead long, seed long, doc long, tag long, low long, at long, split boolean, body binary")
-    found = ws.save(spread.repartitionById(parts, F.col("part")).drop("part").mapInArrow(solve, _FOUND), "found")
+    spread = rows.mapInArrow(tidy(scatter), "part int, lead long, seed long, doc long, tag long, low long, at long, split boolean, body binary")
+    found = ws.save(spread.repartitionById(parts, F.col("part")).drop("part").mapInArrow(tidy(solve), _FOUND), "found")
     ws.drop("seeds")
     across = Window.partitionBy("seed", "away", "word").orderBy("doc", "tag", "start")
     rest = found.filter("seed is not null").withColumn("k", F.rank().over(across)).filter("k > 1")
@@ -369,7 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         copy = F.row_number().over(Window.partitionBy("doc", "tag").orderBy("doc")) > 1
     kind = rows.schema["doc_id"].dataType.simpleString()
     return joined.select("doc_id", "text", "found", copy.alias("copy")).mapInArrow(
-        _trim(length), f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"
+        tidy(_trim(length)), f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"
     )
 
 

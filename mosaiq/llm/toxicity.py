@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import limit_batches, slices
+from .arrow import limit_batches, slices, tidy
 from .common import text_or_empty
 
 #: The most labelled rows that training reads.
@@ -171,13 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n1 or not n0:
         return Model(weights=(30.0 if n1 else -30.0, 0.0, 0.0))
     frequent = (
-        choosing.filter("label = 1").mapInArrow(marks(None), "f string, label int")
+        choosing.filter("label = 1").mapInArrow(tidy(marks(None)), "f string, label int")
         .groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_TOXIC_DOCS)
         .orderBy(F.desc("n"), "f").limit(MAX_FEATURES)
     )
     keep = frozenset(r["f"] for r in frequent.collect())
     counts = (
-        choosing.mapInArrow(marks(keep), "f string, label int")
+        choosing.mapInArrow(tidy(marks(keep)), "f string, label int")
         .groupBy("f").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).collect()
     )
     model = Model()
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ["label", "n", "s"],
             )
 
-    seen = sample.select("text", "label").mapInArrow(tokens, "label int, n long, s array<double>")
+    seen = sample.select("text", "label").mapInArrow(tidy(tokens), "label int, n long, s array<double>")
     totals = {r["label"]: (r["n"], r["h"]) for r in seen.groupBy("label").agg(F.sum("n").alias("n"), F.sum(F.size("s")).alias("h")).collect()}
     (t1, h1), (t0, h0) = totals.get(1, (0, 0)), totals.get(0, (0, 0))
     q1, q0 = (h1 + 0.5) / (t1 + 1), (h0 + 0.5) / (t0 + 1)
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model.rate = _rate(clean, max(t0, 1), model.drift)
 
     calibrating = sample.filter("part = 0").select("text", "label")
-    data = calibrating.mapInArrow(_scorer(model, labelled=True), "label int, best double, passages int").collect()
+    data = calibrating.mapInArrow(tidy(_scorer(model, labelled=True)), "label int, best double, passages int").collect()
     model.weights = _logistic(data) if data else (-2.0, 1.0, 0.0)
     return model
 
@@ -305,5 +305,5 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     rows = _rows(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        _scorer(model), f"doc_id {kind}, score double, passages array<struct<start:bigint,end:bigint,score:double,expect:double>>"
+        tidy(_scorer(model)), f"doc_id {kind}, score double, passages array<struct<start:bigint,end:bigint,score:double,expect:double>>"
     )
