@@ -148,15 +148,18 @@ def _prune(batches):
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
 
-def _groups(batches):
-    """Tables of rows sorted by (bucket, i, j), no group cut; with the rows' group edges."""
+def _groups(batches, rows: int = 1):
+    """Tables of at least ``rows`` rows (but the last) sorted by (bucket, i, j), no group cut."""
     keys = ("bucket", "i", "j")
-    rest = None
+    rest, waiting = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        waiting.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in waiting) < rows:
+            continue
+        table = pa.concat_tables(([rest] if rest is not None else []) + waiting).combine_chunks()
+        waiting = []
         same = np.ones(table.num_rows, bool)
         for k in keys:
             column = table.column(k).to_numpy()
@@ -165,8 +168,8 @@ def _groups(batches):
         rest = table.slice(cut).combine_chunks()
         if cut:
             yield table.slice(0, cut).combine_chunks()
-    if rest is not None:
-        yield rest
+    if rest is not None or waiting:
+        yield pa.concat_tables(([rest] if rest is not None else []) + waiting).combine_chunks()
 
 
 def _pairs(table):
