@@ -53,6 +53,8 @@ ROUNDS = 2
 BLOCK = 512
 #: Members from which on a bucket's groups carry full sets.
 LARGE = 64
+#: Pairs whose minima are compared at once in a task.
+COMPARED = 1 << 14
 
 
 def _sets(batch: pa.RecordBatch, column: str = "text"):
@@ -187,8 +189,8 @@ def _pairs(table):
         if i[a] != j[a]:
             wanted &= block[x] != block[y]
         x, y = x[wanted], y[wanted]
-        for k in range(0, len(x), 1 << 18):
-            u, v = x[k : k + (1 << 18)], y[k : k + (1 << 18)]
+        for k in range(0, len(x), COMPARED):
+            u, v = x[k : k + COMPARED], y[k : k + COMPARED]
             stay = _alive(minima[u], minima[v])
             if len(stay):
                 yield u[stay], v[stay]
