@@ -26,6 +26,8 @@ from .codec import Codec, codes_of, packed_of
 DIGITS = 6
 #: Bytes of query vectors that one plan broadcasts.
 QUERY_BYTES = 32 << 20
+#: Pairs (query_id, doc_id) up to which they are broadcast to the document rows, so that these aren't shuffled.
+BROADCAST_PAIRS = 2_000_000
 
 
 @dataclass
@@ -212,10 +214,16 @@ def approximate(found: DataFrame, encoded: DataFrame, centroids: np.ndarray, que
     return rows.mapInArrow(work, "query_id long, doc_id long, score double")
 
 
-def rerank(kept: DataFrame, encoded: DataFrame, codec: Codec, queries: dict[int, np.ndarray], matrices: bool = False) -> DataFrame:
-    """(query_id, doc_id, score[, token_scores]): exact MaxSim against reconstructed vectors."""
+def rerank(kept: DataFrame, encoded: DataFrame, codec: Codec, queries: dict[int, np.ndarray], matrices: bool = False, most: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score[, token_scores]): exact MaxSim against reconstructed vectors.
+
+    ``most`` is a proven bound on the rows of ``kept``; if it is small, they are sent to the documents.
+    """
     shared = kept.sparkSession.sparkContext.broadcast((codec, queries))
-    rows = kept.select("query_id", "doc_id").join(encoded.select("doc_id", "codes", "residuals"), "doc_id").select("query_id", "doc_id", "codes", "residuals")
+    pairs = kept.select("query_id", "doc_id")
+    if most is not None and most <= BROADCAST_PAIRS:
+        pairs = F.broadcast(pairs)
+    rows = pairs.join(encoded.select("doc_id", "codes", "residuals"), "doc_id").select("query_id", "doc_id", "codes", "residuals")
 
     def work(batches):
         codec, queries = shared.value
@@ -254,10 +262,10 @@ def search(queries: DataFrame, encoded: DataFrame, ivf: DataFrame, codec: Codec,
             found = restrict(found, subset)
         rough = approximate(found, encoded, codec.centroids, batch)
         best = rank(rough, params.reranked)
-        exact = rerank(best, encoded, codec, batch)
+        exact = rerank(best, encoded, codec, batch, most=len(batch) * params.reranked)
         top = rank(exact, params.top_k)
         if matrices:
-            tables = rerank(top, encoded, codec, batch, matrices=True).drop("score")
+            tables = rerank(top, encoded, codec, batch, matrices=True, most=len(batch) * params.top_k).drop("score")
             top = top.join(tables, ["query_id", "doc_id"])
         parts.append(top.select("query_id", "rank", "doc_id", "score", *(["token_scores"] if matrices else [])))
     out = parts[0]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import dense, vectors
@@ -440,9 +440,9 @@ def meta_create(spark, sf_dir):
 
 def meta_update(spark, sf_dir):
     """The first 600 documents, then labels appended as rows with two new columns."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    ranks = Window.orderBy("doc_id")
-    more = labels.filter("doc_id < 100").withColumn(metadata.KEY, (F.row_number().over(ranks) - 1).cast("long"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("doc_id < 100")
+    numbers = mutate.renumber(Workspace(spark, "meta"), labels, labels.filter("false").select("doc_id"))
+    more = mutate.apply_numbers(labels, numbers).withColumnRenamed("doc_id", metadata.KEY)
     more = more.select(metadata.KEY, F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
     return metadata.update(meta_create(spark, sf_dir).filter(f"{metadata.KEY} < 600"), more)
 
