@@ -34,6 +34,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(self._remove, self.path)
 
     def at(self, name: str) -> str:
@@ -41,11 +42,17 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").mode("errorifexists").parquet(self.at(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._remove(self.at(name))
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Remove all tables but these: what a result no longer reads."""
+        self.drop(*(self.names - set(names)))
 
     def _remove(self, path: str) -> None:
         try:
