@@ -379,6 +379,7 @@ class Linker:
 
     def result(self) -> DataFrame:
         """One row a document: doc_id, tag, row, n_shingles, component_id, first (the row that stays of its group)."""
+        self._repeats()
         label = self.labels()
         of_class = self.classes.join(label, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("label"))
         slim = self.rows.select("doc_id", "tag", "row", "n_shingles", "k1", "k2")
@@ -387,6 +388,7 @@ class Linker:
             .unionByName(slim.filter("n_shingles = 0").withColumn("label", F.col("row")))
         )
         placed = self.ws.save(placed.select("doc_id", "tag", "row", "n_shingles", "label"), "placed")
+        self.ws.keep("placed")
         order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
         groups = placed.groupBy("label").agg(F.min(order).alias("m"))
         return placed.join(groups, "label").select("doc_id", "tag", "n_shingles", F.col("m.doc_id").alias("component_id"), (F.col("row") == F.col("m.row")).alias("first"))
