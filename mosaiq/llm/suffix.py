@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace
@@ -49,10 +49,11 @@ NULL_ID = (1 << 63) - 1
 
 
 def _minimizer_hashes(flat: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of 32 bytes along the last axis."""
     h = byte_table(3)[flat]
     factor, width = 0x9E3779B97F4A7C15, 1
     while width < SEED_BYTES:
-        h = h[:-width] * np.uint64(factor) + h[width:]
+        h = h[..., :-width] * np.uint64(factor) + h[..., width:]
         factor = (factor * factor + 2) & ((1 << 64) - 1)
         width *= 2
     return mix(h)
@@ -127,12 +128,16 @@ class Partition:
     def __init__(self, table: pa.Table, length: int):
         self.length = length
         number = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
-        self.lead, self.seed, self.doc, self.tag, self.low, self.at = (number(n) for n in ("lead", "seed", "doc", "tag", "low", "at"))
+        self.doc, self.tag, self.low, self.at = (number(n) for n in ("doc", "tag", "low", "at"))
         self.split = bool(number("split")[0])
         body = table.column("body").combine_chunks()
         body = body if isinstance(body, pa.Array) else pa.concat_arrays(body.chunks)
         self.flat, self.ends = raw(body)
         self.size = np.diff(self.ends)
+        places = self.ends[:-1] + self.at  # of the minimizers, which needn't travel beside their bytes
+        self.lead = _leading(self.flat, places)
+        with np.errstate(over="ignore"):
+            self.seed = _minimizer_hashes(self.flat[places[:, None] + np.arange(SEED_BYTES)])[:, 0].view(np.int64)
 
     def hashed(self, rows: np.ndarray, each):
         """``each(prefix hashes, offsets into them, rows)`` for groups of rows with about 1 MB of bytes."""
@@ -232,6 +237,19 @@ class Partition:
             yield "first", rows[owner[w]], self.low[rows[owner[w]]] + shift[w], (away[w], word[w].view(np.int64))
 
 
+def _doc(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+
+
+def _tag(text: Column, repeats: bool) -> Column:
+    """What tells texts with one id apart; 0 where ids do."""
+    return F.xxhash64(text) if repeats else F.lit(0).cast("long")
+
+
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    return not docs.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty()
+
+
 _FOUND = "doc long, tag long, start long, stop long, seed long, away long, word long"
 
 
@@ -242,9 +260,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "suffix")
     limit_batches(spark)
     text = text_or_empty(text_col).cast("binary")
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text")
-    )
+    rows = docs.select(_doc(id_col).alias("doc"), _tag(text, _repeats(docs, id_col)).alias("tag"), text.alias("text"))
 
     def count(batches):
         for batch in slices(batches, "text", PIECE):
@@ -305,8 +321,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     part = np.where(split, hot_base[spot] + salt.astype(np.int64), part)
                 size = high - low + length
                 body = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(gather(piece, low, size))])
-                arrays = [part.astype(np.int32), key["lead"], seed, docs_[row], tags[row], low + start - ends[row], place - low, split]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), body], ["part", "lead", "seed", "doc", "tag", "low", "at", "split", "body"])
+                arrays = [part.astype(np.int32), docs_[row], tags[row], low + start - ends[row], place - low, split]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), body], ["part", "doc", "tag", "low", "at", "split", "body"])
 
     def solve(batches):
         batches = [b for b in batches if b.num_rows]
@@ -324,7 +340,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ["doc", "tag", "start", "stop", "seed", "away", "word"],
                 )
 
-    spread = rows.mapInArrow(tidy(scatter), "part int, lead long, seed long, doc long, tag long, low long, at long, split boolean, body binary")
+    spread = rows.mapInArrow(tidy(scatter), "part int, doc long, tag long, low long, at long, split boolean, body binary")
     found = ws.save(spread.repartitionById(parts, F.col("part")).drop("part").mapInArrow(tidy(solve), _FOUND), "found")
     ws.drop("seeds")
     across = Window.partitionBy("seed", "away", "word").orderBy("doc", "tag", "start")
@@ -362,10 +378,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ws, spans = repeated_spans(docs, id_col, text_col, length, part_rows)
     spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     text = text_or_empty(text_col).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"))
+    repeats = _repeats(docs, id_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _tag(text, repeats).alias("tag"), _doc(id_col).alias("doc"))
     joined = rows.join(spans, ["doc", "tag"], "left")
     copy = F.lit(False)
-    if not docs.groupBy(id_col).agg(F.count("*").alias("n")).filter(f"n > 1 or {id_col} is null").isEmpty():
+    if repeats:
         copy = F.row_number().over(Window.partitionBy("doc", "tag").orderBy("doc")) > 1
     kind = rows.schema["doc_id"].dataType.simpleString()
     return joined.select("doc_id", "text", "found", copy.alias("copy")).mapInArrow(
