@@ -84,8 +84,11 @@ def maxsim_pairs(pairs: DataFrame, queries: dict[int, np.ndarray], score: str =
     return pairs.select("query_id", "doc_id", "vectors").mapInArrow(work, f"query_id long, doc_id long, {score} double")
 
 
-def bruteforce(documents: DataFrame, queries: dict[int, np.ndarray]) -> DataFrame:
-    """(query_id, doc_id, score) for all queries and documents: each document row is scored against the broadcast queries."""
+def bruteforce(documents: DataFrame, queries: dict[int, np.ndarray], top_k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score) for all queries and documents: each document row is scored against the broadcast queries.
+
+    With ``top_k`` a task returns only its own best documents of each query, among which are the best of all.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(queries)
 
     def work(batches):
@@ -94,6 +97,8 @@ def bruteforce(documents: DataFrame, queries: dict[int, np.ndarray]) -> DataFram
             return
         stacked = np.concatenate([shared.value[q] for q in order])
         first = np.concatenate([[0], np.cumsum([len(shared.value[q]) for q in order])])[:-1]
+        rows = lambda score, docs: pa.RecordBatch.from_arrays([pa.array(np.tile(order, len(score)), pa.int64()), pa.array(docs.ravel(), pa.int64()), pa.array(score.ravel())], ["query_id", "doc_id", "score"])
+        top, at = np.zeros((0, len(order))), np.zeros((0, len(order)), np.int64)
         for batch in batches:
             step = max(1, dense.BLOCK // max(len(stacked) * 32, 1))
             for k in range(0, batch.num_rows, step):
@@ -104,15 +109,22 @@ def bruteforce(documents: DataFrame, queries: dict[int, np.ndarray]) -> DataFram
                     continue
                 best = np.maximum.reduceat(x @ stacked.T, ends[:-1][filled], axis=0)
                 score = np.round(np.add.reduceat(best, first, axis=1), DIGITS)
-                docs = np.asarray(part.column(0))[filled]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(order, len(docs)), pa.int64()), pa.array(np.repeat(docs, len(order)), pa.int64()), pa.array(score.ravel())], ["query_id", "doc_id", "score"])
+                docs = np.repeat(np.asarray(part.column(0))[filled][:, None], len(order), axis=1)
+                if top_k is None:
+                    yield rows(score, docs)
+                else:
+                    top, at = np.concatenate([top, score]), np.concatenate([at, docs])
+                    best = np.lexsort((at, -top), axis=0)[:top_k]
+                    top, at = np.take_along_axis(top, best, 0), np.take_along_axis(at, best, 0)
+        for k in range(0, len(top), 16):
+            yield rows(top[k : k + 16], at[k : k + 16])
 
     return documents.select("doc_id", "vectors").mapInArrow(work, "query_id long, doc_id long, score double")
 
 
 def bruteforce_topk(documents: DataFrame, queries: dict[int, np.ndarray], top_k: int) -> DataFrame:
     """Exact top k: every task keeps its own ``top_k`` documents a query, so few rows are shuffled."""
-    return rank(bruteforce(documents, queries), top_k)
+    return rank(bruteforce(documents, queries, top_k), top_k)
 
 
 def maxsim_sql(tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
