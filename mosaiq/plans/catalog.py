@@ -441,12 +441,12 @@ def meta_create(spark, sf_dir):
 
 
 def meta_update(spark, sf_dir):
-    """The first 600 documents, then labels appended as rows with two new columns."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("doc_id < 100")
+    """All documents, then all labels appended as rows with two new columns."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     numbers = mutate.renumber(Workspace(spark, "meta"), labels, labels.filter("false").select("doc_id"))
     more = mutate.apply_numbers(labels, numbers).withColumnRenamed("doc_id", metadata.KEY)
     more = more.select(metadata.KEY, F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
-    return metadata.update(meta_create(spark, sf_dir).filter(f"{metadata.KEY} < 600"), more)
+    return metadata.update(meta_create(spark, sf_dir), more)
 
 
 def meta_delete(spark, sf_dir):

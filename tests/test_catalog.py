@@ -56,3 +56,14 @@ def test_every_query_is_judged(spark, tables):
 def test_equal_queries_share_results_and_none_is_left_out(spark, tables):
     path, docs = tables
     assert found(catalog.eval_duplicates(spark, path).collect()) == {q: best(docs, q, 3) for q in ASKED}
+
+
+def test_all_labels_are_appended_to_the_whole_metadata_table(spark, tmp_path):
+    docs = [(3 * k, "en", f"src{k % 5}", k) for k in range(650)]
+    labels = [(3 * k, k % 2, k % 3 % 2) for k in range(0, 650, 2)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = [(k, "en", f"src{k % 5}", k, None, None) for k in range(650)]
+    want += [(650 + k, None, None, None, q, t) for k, (_, q, t) in enumerate(labels)]
+    columns = ["_subset_", "lang", "source", "n_chars", "quality", "toxic"]
+    assert sorted(map(tuple, catalog.meta_update(spark, str(tmp_path)).select(*columns).collect())) == want
