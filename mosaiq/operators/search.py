@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -286,6 +287,101 @@ def search(queries: DataFrame, encoded: DataFrame, ivf: DataFrame, codec: Codec,
     return out
 
 
+def _floors(found: DataFrame, documents: DataFrame, queries: dict[int, np.ndarray], top_k: int) -> dict[int, float]:
+    """The exact score of the ``top_k``-th of ``found`` for each query that has as many; the true one isn't lower."""
+    scored = rank(maxsim_pairs(found.select("query_id", "doc_id").join(documents, "doc_id"), queries), top_k)
+    last = scored.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
+    return {r["query_id"]: r["low"] for r in last.collect() if r["n"] == top_k}
+
+
+def at_least(documents: DataFrame, encoded: DataFrame, centroids: np.ndarray, queries: dict[int, np.ndarray], floors: dict[int, float], top_k: int, subset: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) on raw vectors: of each task the ``top_k`` best documents that reach their query's floor.
+
+    A token is at most as near as its centroid plus the length of its residual, so a document whose tokens
+    stay below the floor by that bound isn't scored.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((centroids, queries, floors))
+    rows = documents.select("doc_id", "vectors").join(encoded.select("doc_id", "codes"), "doc_id")
+    if subset is None:
+        rows = rows.withColumn("asked", F.lit(None).cast("array<bigint>"))
+    elif "query_id" in subset.columns:
+        rows = rows.join(subset.groupBy("doc_id").agg(F.collect_set("query_id").alias("asked")), "doc_id")
+    else:
+        rows = rows.join(subset.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("asked", F.lit(None).cast("array<bigint>"))
+
+    def work(batches):
+        centroids, queries, floors = shared.value
+        order = np.array(sorted(q for q in queries if len(queries[q])), np.int64)
+        if not len(order):
+            return
+        stacked = np.concatenate([queries[q] for q in order])
+        first = np.concatenate([[0], np.cumsum([len(queries[q]) for q in order])])[:-1]
+        low = np.array([floors.get(q, -np.inf) for q in order]) - 2 * 10.0**-DIGITS
+        length, near = np.linalg.norm(stacked, axis=1), centroids @ stacked.T
+        total = lambda table, begin: np.add.reduceat(np.maximum.reduceat(table, begin, axis=0), first, axis=1)
+        top, at = np.full((0, len(order)), -np.inf), np.zeros((0, len(order)), np.int64)
+        for batch in batches:
+            step = max(1, dense.BLOCK // max(len(stacked) * 32, 1))
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                part = part.filter(pa.array([n > 0 for n in pa.compute.list_value_length(part.column(1)).to_pylist()], pa.bool_()))
+                if not part.num_rows:
+                    continue
+                x, ends = dense.ragged(part.column(1))
+                codes, _ = codes_of(part.column(2))
+                far = np.linalg.norm(x - centroids[codes], axis=1)
+                wanted = total(near[codes] + far[:, None] * length, ends[:-1]) >= low
+                for row, asked in enumerate(part.column(3).to_pylist()):
+                    if asked is not None:
+                        wanted[row] &= np.isin(order, asked)
+                some = np.flatnonzero(wanted.any(1))
+                if not len(some):
+                    continue
+                size = np.diff(ends)
+                inside = np.repeat(wanted.any(1), size)
+                score = np.round(total(x[inside] @ stacked.T, np.cumsum(size[some]) - size[some]), DIGITS)
+                score[~wanted[some] | (score < low)] = -np.inf
+                docs = np.repeat(np.asarray(part.column(0))[some][:, None], len(order), axis=1)
+                top, at = np.concatenate([top, score]), np.concatenate([at, docs])
+                best = np.lexsort((at, -top), axis=0)[:top_k]
+                top, at = np.take_along_axis(top, best, 0), np.take_along_axis(at, best, 0)
+        i, j = np.nonzero(top > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(order[j]), pa.array(at[i, j]), pa.array(top[i, j])], ["query_id", "doc_id", "score"])
+
+    return rows.select("doc_id", "vectors", "codes", "asked").mapInArrow(work, "query_id long, doc_id long, score double")
+
+
+def raw_token_scores(top: DataFrame, documents: DataFrame, queries: dict[int, np.ndarray]) -> DataFrame:
+    """``top`` with ``token_scores``, the matrix of dot products with the document's raw vectors."""
+    shared = top.sparkSession.sparkContext.broadcast(queries)
+
+    def work(batches):
+        for batch in batches:
+            x, ends = dense.ragged(batch.column(4))
+            tables = [(shared.value[q] @ x[ends[row] : ends[row + 1]].T).tolist() for row, q in enumerate(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(tables, pa.list_(pa.list_(pa.float64())))], ["query_id", "rank", "doc_id", "score", "token_scores"])
+
+    rows = top.join(documents, "doc_id").select("query_id", "rank", "doc_id", "score", "vectors")
+    return rows.mapInArrow(work, "query_id long, rank int, doc_id long, score double, token_scores array<array<double>>")
+
+
+def search_complete(queries: DataFrame, documents: DataFrame, encoded: DataFrame, ivf: DataFrame, codec: Codec, params: Params | None = None, subset: DataFrame | None = None, matrices: bool = False) -> DataFrame:
+    """The true top k on raw vectors, with columns as of ``search``: what the staged search finds tells from which score on."""
+    params = params or Params()
+    found, parts = search(queries, encoded, ivf, codec, params, subset), []
+    batches = query_batches(collect_queries(queries))
+    for batch in batches:
+        own = found if len(batches) == 1 else found.filter(F.col("query_id").isin(list(batch)))
+        floors = _floors(own, documents, batch, params.top_k)
+        top = rank(at_least(documents, encoded, codec.centroids, batch, floors, params.top_k, subset), params.top_k)
+        top = top.select("query_id", "rank", "doc_id", "score")
+        parts.append(raw_token_scores(top, documents, batch) if matrices else top)
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def token_score_rows(found: DataFrame) -> DataFrame:
     """(query_id, doc_id, qpos, pos, sim) from results with ``token_scores``."""
     return found.select("query_id", "doc_id", F.posexplode("token_scores").alias("qpos", "row")).select("query_id", "doc_id", "qpos", F.posexplode("row").alias("pos", "sim"))

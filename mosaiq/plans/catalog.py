@@ -297,9 +297,9 @@ def exact_rerank(spark, sf_dir):
     return rounded(search.rerank(prune_stage2(spark, sf_dir), encoded(spark, sf_dir), codec(spark, sf_dir), _queries(spark, sf_dir)))
 
 
-def _search(spark, sf_dir, subset=None, matrices=False):
+def _search(spark, sf_dir, subset=None, matrices=False, params=PARAMS):
     rows = encoded(spark, sf_dir)
-    return search.search(query_table(spark, sf_dir), rows, ivf.build(rows), codec(spark, sf_dir), PARAMS, subset, matrices)
+    return search.search_complete(query_table(spark, sf_dir), documents(spark, sf_dir), rows, ivf.build(rows), codec(spark, sf_dir), params, subset, matrices)
 
 
 def _results(found):
@@ -470,8 +470,8 @@ def meta_where(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    """Ten best of the exact search without the query itself; relevant: the same label at the first token."""
-    found = search.bruteforce_topk(documents(spark, sf_dir), _queries(spark, sf_dir), TOP_K + 1)
+    """Ten best of the index search without the query itself; relevant: the same label at the first token."""
+    found = _search(spark, sf_dir, params=search.Params(TOP_K + 1, N_FULL, PROBE))
     ranked = evaluation.drop_self_matches(found.select("query_id", "rank", "doc_id"))
     first = token_table(spark, sf_dir).filter("pos = 0").select("doc_id", "label")
     asked = first.filter(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), "label")

@@ -67,3 +67,39 @@ def test_all_labels_are_appended_to_the_whole_metadata_table(spark, tmp_path):
     want += [(650 + k, None, None, None, q, t) for k, (_, q, t) in enumerate(labels)]
     columns = ["_subset_", "lang", "source", "n_chars", "quality", "toxic"]
     assert sorted(map(tuple, catalog.meta_update(spark, str(tmp_path)).select(*columns).collect())) == want
+
+
+def recall(found, want):
+    return sum(len(set(found.get(q, [])) & set(w)) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_searches_find_the_true_neighbours(spark, tables):
+    path, docs = tables
+    assert recall(found(catalog.search_topk(spark, path).collect()), {q: best(docs, q, 10) for q in ASKED}) >= 0.9
+    within = lambda q, ids: [d for d in best(docs, q, len(docs)) if d in ids][:10]
+    thirds, fourths = set(range(0, 240, 3)), set(range(0, 240, 4))
+    assert found(catalog.search_shared_subset(spark, path).collect()) == {q: within(q, thirds) for q in ASKED}
+    assert found(catalog.search_subset(spark, path).collect()) == {q: within(q, fourths) for q in ASKED}
+    matrix = {}
+    for r in catalog.token_scores(spark, path).collect():
+        matrix.setdefault((r.query_id, r.doc_id), {})[r.qpos, r.pos] = r.sim
+    assert matrix.keys() == {(q, d) for q in ASKED for d in best(docs, q, 10)}
+    for (q, d), sims in matrix.items():
+        want = docs[q][0] @ docs[d][0].T
+        assert sims.keys() == set(np.ndindex(want.shape)) and all(abs(sims[k] - want[k]) < 1e-5 for k in sims)
+
+
+def test_documents_that_cannot_reach_the_floor_are_skipped_without_loss(spark):
+    from mosaiq.operators import codec, ivf, search
+    from mosaiq.sources.token_rows import from_arrays
+
+    rng = np.random.default_rng(2)
+    centres = np.eye(8)
+    arrays = [np.stack([centres[rng.integers(8)] + 0.02 * rng.normal(size=8) for _ in range(1 + k % 3)]).astype(np.float32) for k in range(120)]
+    docs = from_arrays(spark, arrays)
+    own = codec.Codec(2, centres, np.array([-0.01, 0.0, 0.01]), np.array([-0.02, -0.005, 0.005, 0.02]))
+    rows = codec.encode(docs, own)
+    queries = docs.filter("doc_id < 9").withColumnRenamed("doc_id", "query_id")
+    got = search.search_complete(queries, docs, rows, ivf.build(rows), own, search.Params(5, 8, 1)).collect()
+    scores = {q: {d: round(float((x.astype(float) @ arrays[q].astype(float).T).max(0).sum()), 6) for d, x in enumerate(arrays)} for q in range(9)}
+    assert found(got) == {q: sorted(s, key=lambda d: (-s[d], d))[:5] for q, s in scores.items()}
