@@ -42,6 +42,7 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 PRIOR_DOCS = 1.0
 MIN_TOXIC_DOCS = 3
 MIN_G = 20.0
+#: Of a feature's documents, the toxic share if there were as many toxic as clean ones; so it doesn't depend on how rare they are.
 MIN_PURITY = 0.75
 SIGNIFICANCE = 0.01
 THRESHOLD = 0.7
@@ -188,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         expected = (a + b) * n1 / (n1 + n0)
         g = 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0)) if a > expected else 0
         balanced = (a + 0.5) / n1 / ((a + 0.5) / n1 + (b + 0.5) / n0)
-        if g >= MIN_G and (a + 0.5) / (a + b + 1) >= MIN_PURITY and balanced >= MIN_PURITY:
+        if g >= MIN_G and balanced >= MIN_PURITY:
             model.scores[f] = round(min(odds, 8.0), 6)
 
     # Token frequencies: the drift from all tokens, lambda from those of clean documents.
