@@ -2,11 +2,13 @@
 
 Hashes are polynomials modulo 2^64 with an odd base over a table of mixed values of bytes. Prefix sums
 give the hash of any range in constant time: the difference of two prefixes times a power of the
-base's inverse.
+base's inverse. Chosen long words can collide modulo 2^64 whatever the base, so words of ``LONG_WORD``
+bytes or more have a cryptographic hash instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -69,6 +71,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes that are hashed at once; longer texts are cut at white space.
 PIECE = 1 << 18
+LONG_WORD = 128
 
 
 def word_hashes(flat: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +96,10 @@ def word_hashes(flat: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple
         a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
         if len(a):
             found.append(ranges(prefixes(piece, table), a, b))
+            for k in np.flatnonzero(b - a >= LONG_WORD).tolist():
+                word = piece[a[k] : b[k]]
+                word = (_LOWER[word] if lower else word).tobytes()
+                found[-1][k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
             places.append(a + start)
         start = stop
     if not found:
