@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
+
+from mosaiq.plans.workspace import Workspace
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a two-column key table may be broadcast (about 24 MB as hashed rows).
 BROADCAST_ROWS = 400_000
+#: Bytes up to which a table of lists may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,3 +30,25 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def numbered(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, doc, text): every row with its text as bytes and a number of its own, in the order of ids.
+
+    Whole numbers that are unique and not null are the numbers themselves. Otherwise rows are ordered by
+    id (null last) and text and numbered: by ranges, one total a range, so that no task sees all rows.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    whole = isinstance(rows.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType))
+    if whole and rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return rows.select("doc_id", F.col("doc_id").cast("long").alias("doc"), "text")
+    order = ["_null", "doc_id", "_mark", "_salt"]
+    keyed = rows.select("*", F.col("doc_id").isNull().alias("_null"), F.xxhash64("text").alias("_mark"), F.monotonically_increasing_id().alias("_salt"))
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = ws.save(ranged.select("doc_id", "text", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq")), "numbered")
+    starts, total = [], 0
+    for part, n in sorted(map(tuple, ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())):
+        starts.append((part, total))
+        total += n
+    starts = ws.spark.createDataFrame(starts, "_part int, _start long")
+    return ranged.join(F.broadcast(starts), "_part").select("doc_id", (F.col("_start") + F.col("_seq") % F.lit(1 << 33)).alias("doc"), "text")

@@ -150,9 +150,8 @@ def _prune(batches):
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
 
-def _groups(batches, rows: int = 1):
-    """Tables of at least ``rows`` rows (but the last) sorted by (bucket, i, j), no group cut."""
-    keys = ("bucket", "i", "j")
+def _groups(batches, rows: int = 1, keys: tuple[str, ...] = ("bucket", "i", "j")):
+    """Tables of at least ``rows`` rows (but the last) sorted by ``keys``, no group cut."""
     rest, waiting = None, []
     for batch in batches:
         if not batch.num_rows:

@@ -237,10 +237,11 @@ def kept_lines(texts):
     return out
 
 
-@pytest.mark.parametrize("first", [1, 4])
-def test_remove_lines(spark, monkeypatch, first):
+@pytest.mark.parametrize(("first", "group", "frequent"), [(1, 4, 1 << 14), (4, 4, 5), (4, 4096, 1 << 14), (1, 6, 0)])
+def test_remove_lines(spark, monkeypatch, first, group, frequent):
     monkeypatch.setattr(lines, "FIRST", first)
-    monkeypatch.setattr(lines, "BLOCK", 4)
+    monkeypatch.setattr(lines, "GROUP", group)  # words of more sets are dealt by size and block
+    monkeypatch.setattr(lines, "FREQUENT", frequent)
     rng = random.Random(4)
     texts = corpus(3)
     hot = words(rng, 20)
