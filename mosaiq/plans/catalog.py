@@ -21,9 +21,9 @@ from mosaiq.sources.token_rows import nested, query_rows
 from .index import MultiVectorIndex
 from .workspace import Workspace, prefix_sums
 
-K, STEPS, NBITS, PROBE, N_FULL, TOP_K, N_QUERIES = 16, 2, 2, 2, 80, 10, 8
+K, STEPS, NBITS, PROBE, N_FULL, TOP_K = 16, 2, 2, 2, 80, 10
 PARAMS = search.Params(TOP_K, N_FULL, PROBE)
-#: Every document whose id is divisible by this is a query. ``N_QUERIES`` is left for the SQL, which has the first eight.
+#: Every document whose id is divisible by this is a query.
 QUERY_STEP = 20
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import K, N_FULL, N_QUERIES, NBITS, PARAMS, PROBE, TOP_K
+from .catalog import K, N_FULL, NBITS, PARAMS, PROBE, QUERY_STEP, TOP_K
 
 _N = 1 << NBITS
 
@@ -49,7 +49,7 @@ PARTS: dict[str, str] = {
         SELECT ((vec_id // 15) * 5 + CASE WHEN r < 1 THEN 0 WHEN r < 3 THEN 1 WHEN r < 6 THEN 2 WHEN r < 10 THEN 3 ELSE 4 END)::BIGINT AS doc_id,
                (r - CASE WHEN r < 1 THEN 0 WHEN r < 3 THEN 1 WHEN r < 6 THEN 3 WHEN r < 10 THEN 6 ELSE 10 END)::INT AS pos, v, label FROM e""",
     "d": "SELECT DISTINCT doc_id FROM t",
-    "q": f"SELECT doc_id AS query_id, pos AS qpos, v AS qv FROM t WHERE doc_id < {N_QUERIES}",
+    "q": f"SELECT doc_id AS query_id, pos AS qpos, v AS qv FROM t WHERE doc_id % {QUERY_STEP} = 0",
     "brute": """
         SELECT query_id, doc_id, round(sum(m), 6) AS score FROM (
           SELECT query_id, qpos, doc_id, max(list_inner_product(qv, v)) AS m FROM q, t GROUP BY ALL) GROUP BY ALL""",
@@ -85,7 +85,7 @@ PARTS: dict[str, str] = {
     "flushed": _assign("late", "grown"),
     "stay": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS new_id FROM d WHERE doc_id % 7 <> 3",
     "first": "SELECT doc_id, label FROM t WHERE pos = 0",
-    "qrels": f"SELECT x.doc_id AS query_id, y.doc_id FROM first x JOIN first y ON x.label = y.label AND x.doc_id <> y.doc_id WHERE x.doc_id < {N_QUERIES}",
+    "qrels": f"SELECT x.doc_id AS query_id, y.doc_id FROM first x JOIN first y ON x.label = y.label AND x.doc_id <> y.doc_id WHERE x.doc_id % {QUERY_STEP} = 0",
     "ranked": f"""
         SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM (
           SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM brute)
@@ -106,7 +106,7 @@ def _staged(subset: str | None) -> dict[str, str]:
         "rk": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM ap",
         "ts": f"SELECT query_id, doc_id, qpos, pos, list_inner_product(qv, dv) AS sim FROM rk JOIN rec USING (doc_id) JOIN q USING (query_id) WHERE k <= {PARAMS.reranked}",
         "ex": "SELECT query_id, doc_id, round(sum(m), 6) AS score FROM (SELECT query_id, doc_id, qpos, max(sim) AS m FROM ts GROUP BY ALL) GROUP BY ALL",
-        "top": f"SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM ex) WHERE rank <= {TOP_K}",
+        "top": f"SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM brute {inside}) WHERE rank <= {TOP_K}",
     }
 
 
@@ -156,7 +156,7 @@ def oracle_sql() -> dict[str, str]:
         "maxsim_bruteforce": _sql("SELECT query_id, doc_id, score FROM brute"),
         "maxsim_relational": _sql("SELECT query_id, doc_id, score FROM brute"),
         "search_topk_exact": _sql(f"SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM brute) WHERE rank <= {TOP_K}"),
-        "token_scores": _sql("SELECT query_id, doc_id, qpos, pos, round(sim, 6) + 0.0::DOUBLE AS sim FROM ts SEMI JOIN top USING (query_id, doc_id)"),
+        "token_scores": _sql("SELECT query_id, doc_id, qpos, pos, round(list_inner_product(qv, v), 6) + 0.0::DOUBLE AS sim FROM top JOIN t USING (doc_id) JOIN q USING (query_id)"),
         "num_partitions": _sql("SELECT count(DISTINCT doc_id) AS num_documents, count(*) AS num_embeddings, pow(2, floor(log2(16 * sqrt(count(*)))))::BIGINT AS num_partitions FROM t"),
         "kmeans_sample_size": _sql("SELECT count(*) AS num_documents, least(1 + trunc(16 * sqrt(120 * count(*)))::BIGINT, count(*)) AS sample_size FROM d"),
         "kmeans_init": _sql(f"SELECT code, {_r('cv')} AS cv FROM c0"),
@@ -205,8 +205,8 @@ def oracle_sql() -> dict[str, str]:
         "compress_only_guard": "SELECT 3::BIGINT AS reconstructed, true AS search_refused, false AS has_ivf",
         "meta_create": _sql("SELECT _subset_, lang, source, n_chars FROM meta"),
         "meta_update": _sql("""
-            SELECT _subset_, lang, source, n_chars, NULL::BIGINT AS quality, NULL::BIGINT AS toxic FROM meta WHERE _subset_ < 600
-            UNION ALL SELECT least(600, (SELECT count(*) FROM meta)) + row_number() OVER (ORDER BY doc_id) - 1, NULL, NULL, NULL, quality, toxic FROM labels WHERE doc_id < 100"""),
+            SELECT _subset_, lang, source, n_chars, NULL::BIGINT AS quality, NULL::BIGINT AS toxic FROM meta
+            UNION ALL SELECT (SELECT count(*) FROM meta) + row_number() OVER (ORDER BY doc_id) - 1, NULL, NULL, NULL, quality, toxic FROM labels"""),
         "meta_delete": _sql("SELECT row_number() OVER (ORDER BY _subset_) - 1 AS _subset_, lang, source, n_chars FROM meta WHERE _subset_ % 7 <> 0"),
         "meta_get_condition": _sql("SELECT _subset_, lang, source, n_chars FROM meta WHERE lang = 'en' AND n_chars >= 2000 AND source ILIKE 'src1%'"),
         "meta_get_subset": _sql("SELECT w.ord, _subset_, lang, source, n_chars FROM (VALUES (0, 5), (1, 2), (2, 5), (4, 7)) AS w(ord, k) JOIN meta ON _subset_ = k"),
@@ -216,6 +216,7 @@ def oracle_sql() -> dict[str, str]:
         "eval_map": _metric("round(coalesce(precision, 0) / relevant, 6)"),
         "eval_recall": _metric("round(coalesce(hits, 0) / relevant, 6)"),
         "eval_duplicates": _sql("""
-            SELECT x.query_id, b.doc_id, rank, b.score FROM (SELECT DISTINCT query_id FROM q) x
-            JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM brute) b ON b.query_id = x.query_id % 4 AND rank <= 3"""),
+            SELECT x.query_id, b.doc_id, rank, b.score FROM (
+              SELECT query_id, min(query_id) OVER (PARTITION BY vectors) AS original FROM (SELECT query_id, list(qv ORDER BY qpos) AS vectors FROM q GROUP BY query_id)) x
+            JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM brute) b ON b.query_id = x.original AND rank <= 3"""),
     }
