@@ -40,8 +40,16 @@ def shuffle_order(seed: int, *keys: str) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *keys), *[F.col(k) for k in keys]]
 
 
-def sample_documents(documents: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    return documents.orderBy(*shuffle_order(seed, "doc_id")).limit(n)
+def sample_rows(rows: DataFrame, n: int, total: int, seed: int, *keys: str) -> DataFrame:
+    """About ``n`` of ``total`` rows, those whose seeded hash is low: no sort, no row moves, and the same rows each time."""
+    if n >= total:
+        return rows
+    share = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return rows.filter(share < n / total)
+
+
+def sample_documents(documents: DataFrame, n: int, total: int, seed: int = 42) -> DataFrame:
+    return sample_rows(documents, n, total, seed, "doc_id")
 
 
 def seeds(tokens: DataFrame, k: int, seed: int = 42, order: list[Column] | None = None) -> np.ndarray:
@@ -146,20 +154,22 @@ def train(tokens: DataFrame, k: int, iterations: int = 4, seed: int = 42, tolera
     return centroids
 
 
-def codebook(documents: DataFrame, iterations: int = 4, max_points: int = 256, n_samples: int | None = None, seed: int = 42, k: int | None = None) -> np.ndarray:
+def codebook(documents: DataFrame, iterations: int = 4, max_points: int = 256, n_samples: int | None = None, seed: int = 42, k: int | None = None, order: list[Column] | None = None) -> np.ndarray:
     """Unit centroids for nested documents, trained on a sample of them."""
     n_docs = documents.count()
-    n = min(n_samples or sample_size(n_docs), n_docs)
-    sample = sample_documents(documents, n, seed)
-    total = sample.agg(F.coalesce(F.sum(F.size("vectors")), F.lit(0))).first()[0]
+    sample = sample_documents(documents, min(n_samples or sample_size(n_docs), n_docs), n_docs, seed)
+    n, total = sample.agg(F.count("*"), F.coalesce(F.sum(F.size("vectors")), F.lit(0))).first()
+    if not total:  # a sample of so few documents may be empty
+        sample = documents
+        n, total = sample.agg(F.count("*"), F.coalesce(F.sum(F.size("vectors")), F.lit(0))).first()
     if k is None:
         k = partition_count(n_docs, total / max(n, 1))
     k = max(1, min(k, total))
     tokens = sample.select("doc_id", F.posexplode("vectors").alias("pos", "v"))
     if total > k * max_points:
-        tokens = tokens.orderBy(*shuffle_order(seed, "doc_id", "pos")).limit(k * max_points)
+        tokens = sample_rows(tokens, k * max_points, total, seed + 1, "doc_id", "pos")
     tokens = tokens.persist()
     try:
-        return dense.unit(train(tokens, k, iterations, seed))
+        return dense.unit(train(tokens, min(k, tokens.count()), iterations, seed, order=order))
     finally:
         tokens.unpersist()

@@ -109,6 +109,13 @@ def index_stats(spark, sf_dir):
     return rounded(ivf.stats(encoded(spark, sf_dir)), "avg_doclen")
 
 
+def index_manifest(spark, sf_dir):
+    """The numbers that an index on disk keeps of its documents."""
+    m = _index(spark, sf_dir, "manifest", documents(spark, sf_dir), start_from_scratch=0).state().manifest
+    names = ["num_documents", "num_embeddings", "num_partitions", "dim", "max_doclen"]
+    return spark.createDataFrame([tuple(int(m[n]) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 # -- exact search ----------------------------------------------------------------------------------------
 
 
@@ -377,33 +384,74 @@ def _code_rows(rows):
     return rows.select("doc_id", F.posexplode("codes").alias("pos", "code"))
 
 
+def _index(spark, sf_dir, label: str, docs, **options) -> MultiVectorIndex:
+    """An index on disk with the catalogue's codebook (or, with ``n_centroids``, its own)."""
+    index = MultiVectorIndex(spark, Workspace(spark, label).at("index"), ordered=True)
+    if "n_centroids" not in options:
+        options["codec"] = codec(spark, sf_dir)
+    return index.create(docs, **options)
+
+
+def _stored_codes(index: MultiVectorIndex):
+    return _code_rows(index.state().table("encoded"))
+
+
 def update_append(spark, sf_dir):
-    """Documents from 120 on appended with the existing codebook."""
-    own, docs = codec(spark, sf_dir), documents(spark, sf_dir)
-    return _code_rows(codecs.encode(docs.filter("doc_id < 120"), own).unionByName(codecs.encode(docs.filter("doc_id >= 120"), own)))
+    """Documents from 120 on appended to an index in two updates; they wait in its buffer and have the existing codes."""
+    docs = documents(spark, sf_dir)
+    index = _index(spark, sf_dir, "append", docs.filter("doc_id < 120"), start_from_scratch=0)
+    size = docs.count() + 1
+    for part in ("doc_id >= 120 and doc_id < 150", "doc_id >= 150"):
+        index.update(docs.filter(part), start_from_scratch=0, buffer_size=size)
+    return _stored_codes(index)
 
 
 def update_flush(spark, sf_dir):
-    """Waiting documents encoded anew with centroids for their outliers; others keep their codes."""
-    own, docs = codec(spark, sf_dir), documents(spark, sf_dir)
-    grown = codecs.Codec(own.nbits, _expanded(spark, sf_dir), own.cutoffs, own.weights)
-    old = codecs.encode(docs, own).filter("doc_id < 120")
-    return _code_rows(old.unionByName(codecs.encode(docs.filter("doc_id >= 120"), grown)))
+    """The buffer of an index is full: waiting documents are encoded anew with centroids for their outliers; others keep their codes."""
+    docs = documents(spark, sf_dir)
+    index = _index(spark, sf_dir, "flush", docs.filter("doc_id < 120"), start_from_scratch=0)
+    waiting = docs.filter("doc_id >= 120").count()
+    for part in ("doc_id >= 120 and doc_id < 150", "doc_id >= 150"):
+        index.update(docs.filter(part), kmeans_niters=1, max_points_per_centroid=16, start_from_scratch=0, buffer_size=waiting)
+    return _stored_codes(index)
 
 
 def update_rebuild(spark, sf_dir):
-    """A small index trained anew on old and appended documents."""
+    """An index that is small enough to be trained anew on old and appended documents."""
     docs = documents(spark, sf_dir)
-    both = docs.filter("doc_id < 120").unionByName(docs.filter("doc_id >= 120"))
-    rows = both.select("doc_id", F.posexplode("vectors").alias("pos", "v"))
-    centroids = dense.unit(kmeans.train(rows, K, STEPS, order=order()))
-    return kmeans.assign(rows, centroids, "dot").select("doc_id", "pos", "code")
+    options = {"kmeans_niters": STEPS, "nbits": NBITS, "n_centroids": K, "n_samples_kmeans": 1 << 40, "max_points_per_centroid": 1 << 40, "start_from_scratch": 1 << 40}
+    index = _index(spark, sf_dir, "rebuild", docs.filter("doc_id < 120"), **options)
+    return _stored_codes(index.update(docs.filter("doc_id >= 120"), **options))
 
 
 def delete_reindex(spark, sf_dir):
-    rows = encoded(spark, sf_dir)
-    numbers = mutate.renumber(Workspace(spark, "delete"), rows, rows.filter("doc_id % 7 = 3").select("doc_id"))
-    return _code_rows(mutate.apply_numbers(rows, numbers))
+    """An index without every seventh document, renumbered without gaps."""
+    docs = documents(spark, sf_dir)
+    index = _index(spark, sf_dir, "delete", docs, start_from_scratch=0)
+    return _stored_codes(index.delete(docs.filter("doc_id % 7 = 3").select("doc_id")))
+
+
+def delete_metadata(spark, sf_dir):
+    """The metadata of an index after a deletion: lengths of its documents, under their new numbers."""
+    docs = documents(spark, sf_dir)
+    about = docs.select(F.col("doc_id").alias(metadata.KEY), F.size("vectors").cast("long").alias("length"))
+    index = _index(spark, sf_dir, "about", docs, start_from_scratch=0, metadata_rows=about)
+    return index.delete(docs.filter("doc_id % 7 = 3").select("doc_id")).get()
+
+
+def update_compaction(spark, sf_dir):
+    """Ten appends, one of them delivered twice: the codes, and of how many folders the table is made."""
+    docs = documents(spark, sf_dir)
+    index = _index(spark, sf_dir, "compaction", docs.filter("doc_id < 120"), start_from_scratch=0)
+    later, size = docs.filter("doc_id >= 120"), docs.count() + 1
+    last = docs.agg(F.max("doc_id")).first()[0]
+    step = max(1, -(-(last - 119) // 10))
+    for k in range(10):
+        part = later.filter(F.floor((F.col("doc_id") - 120) / step) == k)
+        for _ in range(1 + (k == 4)):
+            index.update(part, start_from_scratch=0, buffer_size=size, batch=("rows", k))
+    folders = len(index.state().manifest["tables"]["encoded"])
+    return _stored_codes(index).withColumn("compact", F.lit(folders <= 8))
 
 
 def index_roundtrip(spark, sf_dir):
@@ -509,12 +557,12 @@ def eval_duplicates(spark, sf_dir):
 
 
 QUERIES = [
-    scan_token_rows, query_explode, doc_lengths, doc_offsets, index_stats, maxsim_bruteforce, maxsim_relational, search_topk_exact, token_scores,
+    scan_token_rows, query_explode, doc_lengths, doc_offsets, index_stats, index_manifest, maxsim_bruteforce, maxsim_relational, search_topk_exact, token_scores,
     num_partitions, kmeans_sample_size, kmeans_init, kmeans_assign, kmeans_assign_relational, kmeans_update, kmeans_centroids, l2_normalize,
     assign_codes, residuals, heldout_tokens, bucket_cutoffs, bucket_weights, cluster_threshold, avg_residual, bucketize, pack_residuals,
     reconstruct, get_embeddings, ivf_build, ivf_lengths, ivf_merge, centroid_scores, ivf_probe, candidates, approx_scores, prune_stage1,
     prune_stage2, exact_rerank, search_topk, ivf_probe_subset, candidates_subset, search_subset, search_shared_subset, search_metadata_filter,
-    outlier_tokens, expand_centroids, threshold_merge, update_append, update_flush, update_rebuild, delete_reindex, index_roundtrip,
+    outlier_tokens, expand_centroids, threshold_merge, update_append, update_flush, update_rebuild, delete_reindex, delete_metadata, update_compaction, index_roundtrip,
     compress_only_guard, meta_create, meta_update, meta_delete, meta_get_condition, meta_get_subset, meta_where, eval_ndcg, eval_hits,
     eval_map, eval_recall, eval_duplicates,
 ]

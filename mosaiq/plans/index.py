@@ -56,8 +56,10 @@ def _numbered(ws: Workspace, documents: DataFrame, start: int) -> DataFrame:
 class MultiVectorIndex:
     """A compressed multi-vector index in a folder of versioned snapshots."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, ordered: bool = False):
+        """``ordered``: k-means starts from the first tokens by (document, position), not from a seeded choice."""
         self.spark, self.path = spark, path
+        self.order = [F.col("doc_id"), F.col("pos")] if ordered else None
         self.store = Snapshots(spark, path)
         self._state: State | None = None
 
@@ -139,13 +141,13 @@ class MultiVectorIndex:
 
     # -- writing ------------------------------------------------------------------------------------
 
-    def _commit(self, write, keep, codec: Codec, compress_only: bool, counts: tuple[int, int]) -> None:
-        documents, tokens = counts
+    def _commit(self, write, keep, codec: Codec, compress_only: bool, counts: tuple[int, int, int], batches: dict[str, int]) -> None:
+        documents, tokens, longest = counts
         manifest = {
             "num_documents": documents, "num_embeddings": tokens, "avg_doclen": tokens / documents if documents else 0.0,
             "num_partitions": len(codec.centroids), "nbits": codec.nbits, "dim": codec.dim, "compress_only": compress_only,
             "cutoffs": codec.cutoffs.tolist(), "weights": codec.weights.tolist(), "avg_residual": codec.avg_residual.tolist(),
-            "cluster_threshold": codec.cluster_threshold,
+            "cluster_threshold": codec.cluster_threshold, "max_doclen": longest, "batches": batches,
         }
         self.store.commit(write, keep, manifest, {"encoded": "doc_id", "ivf": "code"})
         self._state = None
@@ -154,19 +156,24 @@ class MultiVectorIndex:
         return self.spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(codec.centroids)], "code int, cv array<double>")
 
     @staticmethod
-    def _counts(documents: DataFrame) -> tuple[int, int]:
-        return tuple(documents.agg(F.count("*"), F.coalesce(F.sum(F.size("vectors")), F.lit(0))).first())
+    def _counts(documents: DataFrame, column: str = "vectors") -> tuple[int, int, int]:
+        """Documents, tokens and the greatest number of tokens of a document."""
+        size = F.size(column)
+        return tuple(documents.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first())
 
-    def create(self, documents, kmeans_niters: int = 4, max_points_per_centroid: int = 256, nbits: int = 4, n_samples_kmeans: int | None = None, seed: int = 42, metadata_rows=None, start_from_scratch: int = START_FROM_SCRATCH, compress_only: bool = False, n_centroids: int | None = None) -> MultiVectorIndex:
-        """A new index; whatever is in the folder becomes an older version. Numbers are dense, in order of ``doc_id``."""
+    def create(self, documents, kmeans_niters: int = 4, max_points_per_centroid: int = 256, nbits: int = 4, n_samples_kmeans: int | None = None, seed: int = 42, metadata_rows=None, start_from_scratch: int = START_FROM_SCRATCH, compress_only: bool = False, n_centroids: int | None = None, codec: Codec | None = None, batch: tuple[str, int] | None = None) -> MultiVectorIndex:
+        """A new index; whatever is in the folder becomes an older version. Numbers are dense, in order of ``doc_id``.
+
+        ``codec``: a codebook that was trained elsewhere, instead of one for these documents.
+        """
         with self.store.lock():
             ws = Workspace(self.spark, "create")
             docs = ws.save(_numbered(ws, as_documents(self.spark, documents), 0), "documents")
-            self._build(ws, docs, kmeans_niters, max_points_per_centroid, nbits, n_samples_kmeans, seed, metadata_rows, start_from_scratch, compress_only, n_centroids)
+            self._build(ws, docs, kmeans_niters, max_points_per_centroid, nbits, n_samples_kmeans, seed, metadata_rows, start_from_scratch, compress_only, n_centroids, codec, dict([batch] if batch else []))
         return self
 
-    def _build(self, ws, docs, iterations, max_points, nbits, n_samples, seed, metadata_rows, scratch, compress_only, k=None) -> None:
-        n, tokens = self._counts(docs)
+    def _build(self, ws, docs, iterations, max_points, nbits, n_samples, seed, metadata_rows, scratch, compress_only, k, codec, batches) -> None:
+        n, tokens, longest = self._counts(docs)
         if not tokens:
             raise ValueError("an index needs at least one token")
         dim = docs.filter(F.size("vectors") > 0).select(F.size(F.col("vectors")[0])).first()[0]
@@ -177,35 +184,45 @@ class MultiVectorIndex:
             if table.count() != n:
                 raise ValueError(f"{table.count()} metadata rows for {n} documents")
             write["metadata"] = table
-        centroids = kmeans.codebook(docs, iterations, max_points, n_samples, seed, k)
-        sample = kmeans.sample_documents(docs, kmeans.sample_size(n), seed)
-        codec = codecs.train(sample.select("doc_id", F.posexplode("vectors").alias("pos", "v")), centroids, nbits)
+        if codec is None:
+            centroids = kmeans.codebook(docs, iterations, max_points, n_samples, seed, k, self.order)
+            sample = kmeans.sample_documents(docs, kmeans.sample_size(n), n, seed)
+            codec = codecs.train(sample.select("doc_id", F.posexplode("vectors").alias("pos", "v")), centroids, nbits)
         encoded = ws.save(codecs.encode(docs, codec), "encoded")
         write |= {"centroids": self._centroid_table(codec), "encoded": encoded}
         if not compress_only:
             write["ivf"] = inverted.build(encoded)
         if n <= scratch:
             write["raw"] = docs
-        self._commit(write, {}, codec, compress_only, (n, tokens))
+        self._commit(write, {}, codec, compress_only, (n, tokens, longest), batches)
+
+    def update(self, documents, metadata_rows: Sequence[Mapping] | DataFrame | None = None, kmeans_niters: int = 4, max_points_per_centroid: int = 256, nbits: int = 4, n_samples_kmeans: int | None = None, seed: int = 42, start_from_scratch: int = START_FROM_SCRATCH, buffer_size: int = BUFFER_SIZE, n_centroids: int | None = None, batch: tuple[str, int] | None = None) -> MultiVectorIndex:
+        """Append documents: rebuild a small index, else append, with new centroids for outliers every ``buffer_size`` documents.
 
-    def update(self, documents, metadata_rows: Sequence[Mapping] | DataFrame | None = None, kmeans_niters: int = 4, max_points_per_centroid: int = 256, nbits: int = 4, n_samples_kmeans: int | None = None, seed: int = 42, start_from_scratch: int = START_FROM_SCRATCH, buffer_size: int = BUFFER_SIZE) -> MultiVectorIndex:
-        """Append documents: rebuild a small index, else append, with new centroids for outliers every ``buffer_size`` documents."""
+        ``batch`` (name of a stream, number) is committed with the documents; a number that isn't above the
+        stream's last one was appended before and does nothing.
+        """
         if self.store.current() is None:
-            return self.create(documents, kmeans_niters, max_points_per_centroid, nbits, n_samples_kmeans, seed, metadata_rows, start_from_scratch)
+            return self.create(documents, kmeans_niters, max_points_per_centroid, nbits, n_samples_kmeans, seed, metadata_rows, start_from_scratch, n_centroids=n_centroids, batch=batch)
         with self.store.lock():
             self._state = None
             state, ws = self.state(), Workspace(self.spark, "update")
             m = state.manifest
+            batches = m.get("batches", {})
+            if batch is not None:
+                if batch[1] <= batches.get(batch[0], -1):
+                    return self
+                batches = batches | {batch[0]: batch[1]}
             start = m["num_documents"]
             new = ws.save(_numbered(ws, as_documents(self.spark, documents), start), "documents")
-            n, tokens = self._counts(new)
+            n, tokens, longest = self._counts(new)
             about = self._appended_metadata(state, metadata_rows, n)
             if not n:
                 return self
             if start <= start_from_scratch and state.has("raw"):
                 both = ws.save(state.table("raw").unionByName(new), "both")
                 whole = metadata.update(state.table("metadata"), about) if about is not None else None
-                self._build(ws, both, kmeans_niters, max_points_per_centroid, m["nbits"], n_samples_kmeans, seed, whole, start_from_scratch, m["compress_only"])
+                self._build(ws, both, kmeans_niters, max_points_per_centroid, m["nbits"], n_samples_kmeans, seed, whole, start_from_scratch, m["compress_only"], n_centroids, None, batches)
                 return self
             keep = {k: v for k, v in m["tables"].items() if k != "raw"}
             write = {}
@@ -223,7 +240,7 @@ class MultiVectorIndex:
                 flushed = ws.save(new if waiting is None else waiting.unionByName(new), "flushed")
                 old = state.table("encoded") if waiting is None else state.table("encoded").join(waiting.select("doc_id"), "doc_id", "left_anti")
                 vectors = flushed.select("doc_id", F.posexplode("vectors").alias("pos", "v"))
-                grown = mutate.expand(vectors, codec.centroids, codec.cluster_threshold, kmeans_niters, max_points_per_centroid, seed)
+                grown = mutate.expand(vectors, codec.centroids, codec.cluster_threshold, kmeans_niters, max_points_per_centroid, seed, self.order)
                 codec = Codec(codec.nbits, grown, codec.cutoffs, codec.weights, codec.avg_residual, codec.cluster_threshold)
                 fresh = codecs.cluster_threshold(codecs.residuals(kmeans.assign(vectors, grown, "dot"), grown))
                 n_flushed = vectors.count()
@@ -241,7 +258,8 @@ class MultiVectorIndex:
                     if waiting is not None:
                         keep.pop("ivf")
                     write["ivf"] = inverted.build(write["encoded"])
-            self._commit(write, keep, codec, m["compress_only"], (start + n, m["num_embeddings"] + tokens))
+            longest = max(longest, m.get("max_doclen", 0))
+            self._commit(write, keep, codec, m["compress_only"], (start + n, m["num_embeddings"] + tokens, longest), batches)
         return self
 
     def _appended_metadata(self, state: State, rows, n: int):
@@ -278,8 +296,7 @@ class MultiVectorIndex:
                 write["metadata"] = mutate.apply_numbers(state.table("metadata"), numbers, metadata.KEY)
             if not m["compress_only"]:
                 write["ivf"] = inverted.build(encoded)
-            n, tokens = encoded.agg(F.count("*"), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
-            self._commit(write, {"centroids": m["tables"]["centroids"]}, state.codec, m["compress_only"], (n, tokens))
+            self._commit(write, {"centroids": m["tables"]["centroids"]}, state.codec, m["compress_only"], self._counts(encoded, "codes"), m.get("batches", {}))
         return self
 
 

@@ -201,6 +201,11 @@ def oracle_sql() -> dict[str, str]:
         "update_flush": _sql(_CODES + "a WHERE doc_id < 120 UNION ALL " + _CODES + "flushed"),
         "update_rebuild": _sql(_CODES + "a"),
         "delete_reindex": _sql("SELECT new_id AS doc_id, pos, code FROM a JOIN stay USING (doc_id)"),
+        "delete_metadata": _sql("SELECT new_id AS _subset_, length FROM (SELECT doc_id, count(*) AS length FROM t GROUP BY doc_id) JOIN stay USING (doc_id)"),
+        "update_compaction": _sql("SELECT doc_id, pos, code, true AS compact FROM a"),
+        "index_manifest": _sql(f"""
+            SELECT count(*) AS num_documents, sum(n)::BIGINT AS num_embeddings, {K}::BIGINT AS num_partitions,
+                   (SELECT max(len(v)) FROM t)::BIGINT AS dim, max(n) AS max_doclen FROM (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id)"""),
         "index_roundtrip": _sql(f"SELECT count(DISTINCT doc_id) AS num_documents, count(*) AS num_embeddings, {n_docs} - 3 AS last_id FROM t WHERE doc_id NOT IN (0, 7)"),
         "compress_only_guard": "SELECT 3::BIGINT AS reconstructed, true AS search_refused, false AS has_ivf",
         "meta_create": _sql("SELECT _subset_, lang, source, n_chars FROM meta"),

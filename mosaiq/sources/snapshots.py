@@ -4,16 +4,27 @@ A version is a folder of Parquet tables and a manifest. The file ``CURRENT`` nam
 readers use; they resolve it once. A writer takes an exclusive lock file, writes the next version in
 full and then replaces ``CURRENT``, so index and metadata change together or not at all, and searches
 go on during an update. All files are reached through the Hadoop file system of the path.
+
+The holder of the lock renews its time; a lock that wasn't renewed for ``STALE`` seconds belongs to a
+writer that died, and one of those who wait removes it. A table of more than ``SEGMENTS`` folders has all
+but its first merged when the next version is written.
 """
 
 from __future__ import annotations
 
 import contextlib
 import json
+import threading
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds after which a lock that nobody renews is taken over, and between renewals.
+STALE, RENEWED = 300.0, 30.0
+#: Folders of a table, one an append, from which on they are merged.
+SEGMENTS = 8
+
 
 class Snapshots:
     def __init__(self, spark: SparkSession, path: str):
@@ -58,19 +69,49 @@ class Snapshots:
     @contextlib.contextmanager
     def lock(self, timeout: float = 600.0):
         """Exclusive among writers; creating a file that exists fails on any Hadoop file system."""
-        until = time.time() + timeout
+        until, owner = time.time() + timeout, uuid.uuid4().hex
         while True:
             try:
-                self._write("LOCK", str(time.time()), overwrite=False)
+                self._write("LOCK", owner, overwrite=False)
                 break
             except Exception as error:
+                if self._take_stale(owner):
+                    continue
                 if time.time() > until:
                     raise TimeoutError(f"{self.path}/LOCK is held by another writer") from error
                 time.sleep(0.2)
+        done = threading.Event()
+        renewing = threading.Thread(target=self._renew, args=(owner, done), daemon=True)
+        renewing.start()
         try:
             yield
         finally:
-            self._fs.delete(self._at("LOCK"), False)
+            done.set()
+            renewing.join()
+            if self._read("LOCK") == owner:
+                self._fs.delete(self._at("LOCK"), False)
+
+    def _renew(self, owner: str, done: threading.Event) -> None:
+        while not done.wait(RENEWED):
+            if self._read("LOCK") == owner:
+                self._fs.setTimes(self._at("LOCK"), int(time.time() * 1000), -1)
+
+    def _take_stale(self, owner: str) -> bool:
+        """Remove a lock that nobody renews. A rename has one winner, so a new lock is never removed by a second one."""
+        try:
+            status = self._fs.getFileStatus(self._at("LOCK"))
+            if time.time() * 1000 - status.getModificationTime() < STALE * 1000:
+                return False
+            aside = self._at(f"LOCK.{owner}")
+            if not self._fs.rename(self._at("LOCK"), aside):
+                return False
+            if time.time() * 1000 - self._fs.getFileStatus(aside).getModificationTime() < STALE * 1000:
+                self._fs.rename(aside, self._at("LOCK"))  # another one was quicker, and this is its lock
+                return False
+            self._fs.delete(aside, False)
+            return True
+        except Exception:  # noqa: BLE001  the lock went meanwhile
+            return False
 
     def commit(self, write: dict[str, DataFrame], keep: dict[str, list[str]], manifest: dict, cluster_by: dict[str, str] | None = None, versions: int = 2) -> dict:
         """Write the next version and make it current; returns its manifest.
@@ -84,6 +125,10 @@ class Snapshots:
         tables = {name: list(paths) for name, paths in keep.items()}
         for name, df in write.items():
             key = (cluster_by or {}).get(name)
+            if len(tables.get(name, [])) >= SEGMENTS:
+                merged = tables[name][1:]
+                tables[name] = tables[name][:1]
+                df = self.table({"tables": {name: merged}}, name).unionByName(df, allowMissingColumns=True)
             if key:
                 df = df.repartitionByRange(key).sortWithinPartitions(key)
             df.write.option("compression", "zstd").mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
