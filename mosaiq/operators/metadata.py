@@ -2,8 +2,8 @@
 
 Rows are keyed by ``_subset_``, the document's number. Conditions are SQL text with ``?`` parameters in
 the dialect of a common embedded database, translated where Spark differs: ``LIKE`` ignores case,
-double-quoted names are identifiers, and division by zero gives NULL. Integer division is not imitated:
-``5 / 2`` is 2.5.
+double-quoted names are identifiers, dividing whole numbers gives a whole number (``5 / 2`` is 2), and
+division by zero gives NULL.
 """
 
 from __future__ import annotations
@@ -95,6 +95,51 @@ def delete(table: DataFrame, deleted: DataFrame | Sequence[int], ws: Workspace |
     return apply_numbers(table, numbers, KEY)
 
 
+_TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|[0-9.]+(?:[eE][+-]?[0-9]+)?|\w+|\s+|<=>|<=|>=|<>|!=|==|\|\||.", re.DOTALL)
+#: Words after which an operand begins, so that they aren't the name of a function or a part of an operand.
+_WORDS = frozenset("AND OR NOT IN IS BETWEEN LIKE ILIKE RLIKE ESCAPE CASE WHEN THEN ELSE SELECT WHERE DISTINCT EXISTS".split())
+_WHOLE = "('tinyint', 'smallint', 'int', 'bigint')"
+
+
+def _divided(a: str, b: str) -> str:
+    """``a / b``: operands are written once, since they may hold parameters."""
+    whole = f"typeof(d.a) IN {_WHOLE} AND typeof(d.b) IN {_WHOLE}"
+    return f" transform(array(named_struct('a', {a.strip()}, 'b', {b.strip()})), d -> CASE WHEN {whole} THEN CAST(try_divide(d.a, d.b) AS BIGINT) ELSE try_divide(d.a, d.b) END)[0] "
+
+
+def _divisions(tokens: list[str], at: int, closing: bool) -> tuple[str, int]:
+    """The text from a token on (to its closing bracket) with each ``x / y`` rewritten; ``x`` is the product so far."""
+    done, product, operator, operand, after = "", "", "", "", False
+
+    def finish() -> str:
+        if not operator:
+            return operand
+        if operator == "/":
+            return _divided(product, operand)
+        return product + operator + operand
+
+    while at < len(tokens):
+        token = tokens[at]
+        at += 1
+        if token == ")" and closing:
+            break
+        if token == "(":
+            inner, at = _divisions(tokens, at, True)
+            operand += f"({inner})"
+            after = True
+        elif token.isspace():
+            operand += token
+        elif token in "*/%" and after:
+            product, operator, operand, after = finish(), token, "", False
+        elif token.upper() in _WORDS or not (token[0].isalnum() or token[0] in "_'\"`?.") and not (token in "+-" and not after):
+            done += finish() + token
+            product, operator, operand, after = "", "", "", False
+        else:
+            operand += token
+            after = token not in "+-"
+    return done + finish(), at
+
+
 def translate(condition: str) -> str:
     """A condition in Spark's dialect; text in single quotes is left alone."""
 
@@ -105,7 +150,7 @@ def translate(condition: str) -> str:
             return "`" + match[2][1:-1].replace('""', '"').replace("`", "``") + "`"
         return "ILIKE"
 
-    return _PART.sub(part, condition)
+    return _divisions(_TOKEN.findall(_PART.sub(part, condition)), 0, False)[0]
 
 
 def select(table: DataFrame, condition: str | None = None, parameters: Sequence = ()) -> DataFrame:

@@ -25,6 +25,8 @@ from mosaiq.functions import dense, vectors
 from .codec import Codec, codes_of, packed_of
 
 DIGITS = 6
+#: The setting that bounds the ``n`` for which Spark ranks before it shuffles.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 #: Bytes of query vectors that one plan broadcasts.
 QUERY_BYTES = 32 << 20
 #: Pairs (query_id, doc_id) up to which they are broadcast to the document rows, so that these aren't shuffled.
@@ -60,7 +62,14 @@ def query_batches(queries: dict[int, np.ndarray], limit: int = QUERY_BYTES) -> l
 
 
 def rank(df: DataFrame, n: int, score: str = "score") -> DataFrame:
-    """The ``n`` best rows of each query, with ``rank`` from 1."""
+    """The ``n`` best rows of each query, with ``rank`` from 1.
+
+    Tasks rank their own rows first and send only the ``n`` best of a query on; Spark plans that up to a
+    threshold of its own, which is raised where ``n`` is more.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT)) < n:
+        conf.set(GROUP_LIMIT, str(n))
     order = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("doc_id"))
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 

@@ -514,6 +514,11 @@ def meta_where(spark, sf_dir):
     return metadata.where(meta_create(spark, sf_dir), "source like ? OR n_chars < ?", ["src_", 100])
 
 
+def meta_divide(spark, sf_dir):
+    """Whole numbers divide to whole numbers, and division by zero meets no condition."""
+    return metadata.where(meta_create(spark, sf_dir), "n_chars / (n_chars % ?) / 2 >= 100 AND 5 / 2 = 2 OR 3.0 / n_chars > 0.1", [7])
+
+
 # -- evaluation ------------------------------------------------------------------------------------------
 
 
@@ -563,7 +568,7 @@ QUERIES = [
     reconstruct, get_embeddings, ivf_build, ivf_lengths, ivf_merge, centroid_scores, ivf_probe, candidates, approx_scores, prune_stage1,
     prune_stage2, exact_rerank, search_topk, ivf_probe_subset, candidates_subset, search_subset, search_shared_subset, search_metadata_filter,
     outlier_tokens, expand_centroids, threshold_merge, update_append, update_flush, update_rebuild, delete_reindex, delete_metadata, update_compaction, index_roundtrip,
-    compress_only_guard, meta_create, meta_update, meta_delete, meta_get_condition, meta_get_subset, meta_where, eval_ndcg, eval_hits,
+    compress_only_guard, meta_create, meta_update, meta_delete, meta_get_condition, meta_get_subset, meta_where, meta_divide, eval_ndcg, eval_hits,
     eval_map, eval_recall, eval_duplicates,
 ]
 

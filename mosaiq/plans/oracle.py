@@ -216,6 +216,7 @@ def oracle_sql() -> dict[str, str]:
         "meta_get_condition": _sql("SELECT _subset_, lang, source, n_chars FROM meta WHERE lang = 'en' AND n_chars >= 2000 AND source ILIKE 'src1%'"),
         "meta_get_subset": _sql("SELECT w.ord, _subset_, lang, source, n_chars FROM (VALUES (0, 5), (1, 2), (2, 5), (4, 7)) AS w(ord, k) JOIN meta ON _subset_ = k"),
         "meta_where": _sql("SELECT _subset_ AS doc_id FROM meta WHERE source ILIKE 'src_' OR n_chars < 100"),
+        "meta_divide": _sql("SELECT _subset_ AS doc_id FROM meta WHERE n_chars // nullif(n_chars % 7, 0) // 2 >= 100 AND 5 // 2 = 2 OR 3.0 / nullif(n_chars, 0) > 0.1"),
         "eval_ndcg": _metric(f"round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(relevant, {TOP_K}) + 1), lambda i: 1 / log2(i + 1))), 6)"),
         "eval_hits": _metric("coalesce(hits, 0)", 5),
         "eval_map": _metric("round(coalesce(precision, 0) / relevant, 6)"),

@@ -163,3 +163,64 @@ def test_stream_appends(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, pos int, v array<float>").parquet(str(tmp_path / "in"))
     appender.start(stream, index, str(tmp_path / "ck"), kmeans_niters=1).awaitTermination(120)
     assert index.state().manifest["num_documents"] == 12
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    """Also by another process: the number is in the manifest."""
+    from mosaiq.sources.token_rows import from_arrays
+    from mosaiq.streaming import appender
+
+    path = str(tmp_path / "i")
+    MultiVectorIndex(spark, path).create(docs(4, 3), kmeans_niters=1)
+    batch = from_arrays(spark, docs(1, 3, seed=8))
+    for number in (0, 0, 1):
+        appender.append_batches(MultiVectorIndex(spark, path), kmeans_niters=1)(batch, number)
+    appender.append_batches(MultiVectorIndex(spark, path), "another", kmeans_niters=1)(batch, 0)
+    assert MultiVectorIndex(spark, path).state().manifest["num_documents"] == 7
+
+
+def test_a_lock_outlives_its_writer_no_longer_than_it_must(spark, tmp_path, monkeypatch):
+    from mosaiq.sources import snapshots
+
+    store = snapshots.Snapshots(spark, str(tmp_path / "s"))
+    store._write("LOCK", "dead")
+    with pytest.raises(TimeoutError), store.lock(timeout=0.5):
+        pass
+    monkeypatch.setattr(snapshots, "STALE", 1.5)
+    monkeypatch.setattr(snapshots, "RENEWED", 0.2)
+    with store.lock(timeout=20):
+        import time
+
+        time.sleep(2.5)  # renewed meanwhile, so another writer doesn't take it
+        with pytest.raises(TimeoutError), store.lock(timeout=0.3):
+            pass
+    assert store._read("LOCK") is None
+
+
+def test_appends_are_merged(spark, tmp_path):
+    from mosaiq.sources import snapshots
+
+    index = MultiVectorIndex(spark, str(tmp_path / "c")).create(docs(5, 3), kmeans_niters=1, n_centroids=4, start_from_scratch=0, metadata_rows=[{"n": k} for k in range(5)])
+    for k in range(snapshots.SEGMENTS + 2):
+        index.update(docs(1, 3, seed=k + 1), start_from_scratch=0, buffer_size=99, metadata_rows=[{"n": 5 + k, "m": k}])
+    tables = index.state().manifest["tables"]
+    assert all(len(folders) <= snapshots.SEGMENTS for folders in tables.values())
+    assert [r.n for r in index.get().collect()] == list(range(7 + snapshots.SEGMENTS))
+    assert len(reconstructed(index, 7 + snapshots.SEGMENTS)) == 7 + snapshots.SEGMENTS and index.state().manifest["max_doclen"] == 3
+
+
+def test_samples_are_about_as_large_as_wanted(spark):
+    from mosaiq.operators import kmeans
+
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    some = kmeans.sample_documents(rows, 2_000, 20_000)
+    assert abs(some.count() - 2_000) < 200 and some.collect() == kmeans.sample_documents(rows, 2_000, 20_000).collect()
+    assert kmeans.sample_documents(rows, 20_000, 20_000).count() == 20_000
+
+
+def test_a_ranking_is_cut_before_the_shuffle(spark):
+    from mosaiq.operators import search
+
+    rows = spark.range(10_000).selectExpr("id % 2 as query_id", "id as doc_id", "id * 1.0 as score")
+    plan = search.rank(rows, 1024)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") >= 0 and plan.count("WindowGroupLimit") == 2

@@ -198,6 +198,16 @@ def test_metadata_life(spark):
 
 def test_conditions_are_translated():
     assert metadata.translate("a LIKE 'x LIKE y' AND \"b\" like ?") == "a ILIKE 'x LIKE y' AND `b` ILIKE ?"
+    assert metadata.translate("a = 'x / y' AND `p/q` = 1") == "a = 'x / y' AND `p/q` = 1"
+
+
+@pytest.mark.parametrize(("condition", "parameters", "want"), [
+    ("1 / a > 0", [], [1]), ("5 / 2 = 2", [], [0, 1, 2]), ("5 / 2.0 = 2.5", [], [0, 1, 2]), ("a*7 / b-1 = ?", [2], [1]), ("b / (a / a) IS NULL", [], [0]),
+    ("CASE WHEN b/a>1 THEN 1 ELSE 0 END = 1", [], [1, 2]), ("a BETWEEN ? / 2 AND 4", [3], [1, 2]), ("-b/-a = 2", [], [1]), ("abs(a-b)/b*b + b/b = ?", [1], [1, 2]), ("b/2 IN (1, 8/2)", [], [0, 1]),
+])
+def test_division(spark, condition, parameters, want):
+    table = metadata.create([{"a": 0, "b": 3}, {"a": 1, "b": 2}, {"a": 2, "b": 7}], spark)
+    assert sorted(r.doc_id for r in metadata.where(table, condition, parameters).collect()) == want
 
 
 # -- evaluation --------------------------------------------------------------------------------------------
