@@ -8,7 +8,11 @@ that announce an identifier. Each anchor starts a parser that looks only at its
 * ip, card, phone: from the first digit (or the plus sign) on, then validated: parts at most 255;
   14 to 19 digits that pass the Luhn check; 10 to 15 digits.
 * url: a scheme's address that names a user before its host (``ftp://name:secret@host``).
-* account: an identifier after its announcing word; IBANs must pass their check digits.
+* account: an identifier after its announcing word, in any case; what looks like an IBAN must pass its
+  check digits, without spaces or in groups, and nothing else is tried there.
+* secret: the value that is assigned to a word such as ``token``, ``password`` or ``api_key``.
+
+Announcing words begin at a word's beginning. Base kinds have no other boundaries than their patterns.
 
 The first four find exactly the leftmost non-overlapping matches of these patterns, a match that
 fails validation is dropped without another try::
@@ -18,8 +22,10 @@ fails validation is dropped without another try::
     card   [0-9]([\\x20-]?[0-9])+
     phone  \\+[0-9][\\x20().0-9-]+[0-9]
 
-The other two add spans. Positions count code points, ends are exclusive. Edge cases: a null text is
-empty and has no spans; every row is scanned by itself, whole, whatever its length.
+The other three add spans. Positions count code points, ends are exclusive. Edge cases: a null text is
+empty and has no spans; every row is scanned by itself, whole, whatever its length, and repeated rows alike;
+spans with the same start are listed in the order of kinds, equal ones once; an empty table gives an empty
+result. Only the id and text columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -35,10 +41,12 @@ from .arrow import limit_batches, slices, tidy
 from .common import text_or_empty
 
 #: Kinds in the order in which spans with the same start are listed.
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE_KINDS = KINDS[:4]
 #: Words that announce an identifier.
-CUES = ("account number", "account no", "acct no", "iban", "passport no", "kontonummer", "número de cuenta", "numéro de compte")
+CUES = ("account number", "account no", "acct no", "iban", "passport no", "passport number", "kontonummer", "número de cuenta", "numéro de compte")
+#: Words to which a secret is assigned.
+SECRETS = ("token", "password", "passwort", "passwd", "pwd", "contraseña", "mot de passe", "secret", "key")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,8 +57,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[^\s/?#@<>\"']+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?[^\s<>\"']*")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _AFTER_CUE = re.compile(r"[\s.:#=-]{0,4}")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){2,8}")
-_IDENTIFIER = re.compile(r"[A-Z]{0,2}[0-9](?:[ -]?[0-9]){5,16}(?![0-9A-Za-z])")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{1,4}){2,8}")
+_IDENTIFIER = re.compile(r"[A-Za-z]{0,2}[0-9](?:[ -]?[0-9]){5,16}(?![0-9A-Za-z])")
+_ASSIGNED = re.compile(r"[\"']?[^\S\n]{0,3}[:=][^\S\n]{0,3}(?:\"([^\"\n]{6,512})\"|'([^'\n]{6,512})'|((?=[^\s\"'<>,;]{0,511}[0-9])[^\s\"'<>,;]{8,512}))")
+_ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
 
 
 @lru_cache(maxsize=1)
@@ -63,9 +73,9 @@ def _automaton():
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
     found.add_word("://", ("scheme", 3))
-    for cue in CUES:
-        for form in (cue, cue.upper(), cue.title(), cue.capitalize()):
-            found.add_word(form, ("cue", len(form)))
+    for kind, cues in (("cue", CUES), ("secret", SECRETS)):
+        for cue in cues:
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -83,11 +93,29 @@ def _iban(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _iban_end(text: str, match: re.Match) -> int | None:
+    """The end of the longest IBAN in a match that ends where a group or word does."""
+    start, end = match.span()
+    if end < len(text) and text[end].isalnum():  # the match ends within a word
+        end = text.rfind(" ", start, end)
+    while end > start:
+        if _iban(text[start:end].replace(" ", "")):
+            return end
+        end = text.rfind(" ", start, end)
+    return None
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII_LOWER)
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start, then by kind as listed in KINDS."""
     spans: list[tuple[str, int, int]] = []
     email_end = ip_end = card_end = phone_end = url_end = 0
-    for last, (anchor, width) in _automaton().iter(text):
+    for last, (anchor, width) in _automaton().iter(_lowered(text)):
         at = last - width + 1
         if anchor == "digit":
             if at >= card_end and (m := _CARD.match(text, at)):
@@ -123,9 +151,17 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 while text[url_end - 1] in ".,;:!?)":
                     url_end -= 1
                 spans.append(("url", start, url_end))
+        elif at and text[at - 1].isalnum():
+            continue
+        elif anchor == "secret":
+            if m := _ASSIGNED.match(text, last + 1):
+                spans.append(("secret", *m.span(m.lastindex)))
         else:
             start = _AFTER_CUE.match(text, last + 1).end()
-            if (m := _IBAN.match(text, start)) and _iban(m.group().replace(" ", "")) or (m := _IDENTIFIER.match(text, start)):
+            if m := _IBAN.match(text, start):
+                if (end := _iban_end(text, m)) is not None:
+                    spans.append(("account", start, end))
+            elif m := _IDENTIFIER.match(text, start):
                 spans.append(("account", start, m.end()))
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

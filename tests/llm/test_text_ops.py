@@ -74,6 +74,29 @@ def test_added_spans():
     assert pii.find_spans("see https://example.com/a/b for more") == []
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("the Taliban 2001-2021 war", []),
+    ("IBAN DE89 3704 0044 0532 0130 01", []),  # wrong check digits, and no shorter part is tried as another identifier
+    ("iban: de89370400440532013000.", [("account", "de89370400440532013000")]),
+    ("Iban de89 3704 0044 0532 0130 00 is mine", [("account", "de89 3704 0044 0532 0130 00")]),
+    ("AcCoUnT nUmBeR 1234567", [("account", "1234567")]),
+    ("İİ kontonummer 1234567", [("account", "1234567")]),
+    ('x token = "04dbebab91ab85687d33eeaa" y', [("secret", "04dbebab91ab85687d33eeaa")]),
+    ("PASSWORD: hunter2hunter2, next", [("secret", "hunter2hunter2")]),
+    ("'api_key': 'abc-def-ghi'", [("secret", "abc-def-ghi")]),
+    ("tokenizer = 12345678 and monkey: 12345678", []),
+    ("password: something else", []),
+])
+def test_boundaries_of_added_spans(text, want):
+    assert [(k, text[a:b]) for k, a, b in pii.find_spans(text) if k not in pii.BASE_KINDS] == want
+
+
+def test_secrets_of_the_tables_are_found(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text like '%token = \"%'")
+    found = pii.find_personal_data(rows).collect()
+    assert found and all(any(s.kind == "secret" and len(s.value) == 40 for s in r.spans) for r in found)
+
+
 def test_long_digit_runs_are_linear():
     assert pii.find_spans("1" * 200_000 + ".") == []
     assert pii.find_spans("@" * 200_000) == []
