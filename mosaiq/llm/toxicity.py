@@ -10,14 +10,16 @@ drift, the log-odds of a token without one.
 Scoring is one linear pass over all tokens of a text that yields every maximal-scoring segment
 (disjoint segments that no extension or union improves). A segment's score S in n tokens has the
 extreme-value expectation ``E = n exp(-lambda S)`` where lambda solves ``sum p(s) exp(lambda s) = 1``
-over clean tokens. Segments with ``E <= significance`` are reported as passages; ``ln 1/E`` of the best
-segment and the number of passages are calibrated to a probability on the part of the sample that
-chose no features.
+over clean tokens. Segments with ``E <= significance`` are reported as passages; the best segment's
+``ln(1 + ln(1 + 1/E))`` and the number of passages are calibrated to a probability on the part of the
+sample that chose no features.
 
 Labels, language, source and ids are never inputs of a score. Edge cases: null and empty texts have
 no segment and get the score of a text without one; labels that are null are ignored; repeated label
-rows of one document count once (as toxic if any says so); without any labelled row of either kind all
-scores are the share of toxic ones, or 0.
+rows of one document count once (as toxic if any says so); very long texts are scored whole, in linear time;
+of segments with the same score the first counts, and rows with the same text have the same score; without
+any labelled row of either kind all scores are next to 1 or 0; an empty table gives an empty result. Only the
+id and text columns (and the label's) are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -36,8 +38,6 @@ from .common import text_or_empty
 
 #: The most labelled rows that training reads.
 MAX_ROWS = 20_000
-#: The most candidate features.
-MAX_FEATURES = 50_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 PRIOR_DOCS = 1.0
 MIN_TOXIC_DOCS = 3
@@ -85,7 +85,7 @@ class Model:
 
     def probability(self, best: np.ndarray, passages: np.ndarray) -> np.ndarray:
         a, b, c = self.weights
-        return 1 / (1 + np.exp(-np.clip(a + b * best + c * np.log1p(passages), -30, 30)))
+        return 1 / (1 + np.exp(-(a + b * _curve(best) + c * np.log1p(passages))))
 
 
 def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -116,16 +116,21 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
     return [(int(s[0]), int(s[1]), s[3] - s[2]) for s in stack]
 
 
+def _curve(best: np.ndarray) -> np.ndarray:
+    """ln(1 + ln(1 + 1/E)) from ln 1/E: it rises with every bit of evidence, and slowly, so that no document outweighs all others."""
+    return np.log1p(np.logaddexp(0.0, best))
+
+
 def _hits(words: list[str], memo) -> list[tuple[int, float]]:
     return [(i, s) for i, s in enumerate(map(memo.__getitem__, words)) if s]
 
 
 def _evidence(model: Model, n: int, found: list[tuple[int, int, float]]) -> tuple[float, int]:
-    """ln 1/E of the best segment (0 without one) and the number of significant ones."""
+    """ln 1/E of the best segment (that of a score of 0 without one) and the number of significant ones."""
     base = math.log(max(n, 1))
     logs = [model.rate * s - base for _, _, s in found]
     limit = -math.log(SIGNIFICANCE)
-    return max(max(logs, default=0.0), 0.0), sum(x >= limit for x in logs)
+    return max(logs, default=-base), sum(x >= limit for x in logs)
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
@@ -174,9 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     frequent = (
         choosing.filter("label = 1").mapInArrow(tidy(marks(None)), "f string, label int")
         .groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_TOXIC_DOCS)
-        .orderBy(F.desc("n"), "f").limit(MAX_FEATURES)
     )
-    keep = frozenset(r["f"] for r in frequent.collect())
+    keep = frozenset(r["f"] for r in frequent.collect())  # all that the sample has
     counts = (
         choosing.mapInArrow(tidy(marks(keep)), "f string, label int")
         .groupBy("f").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).collect()
@@ -243,7 +247,7 @@ def _rate(counts: dict[float, int], total: int, drift: float) -> float:
 def _logistic(data) -> tuple[float, float, float]:
     """Ridge logistic regression on (ln 1/E, ln(1 + passages)); slopes are kept non-negative."""
     y = np.array([r[0] for r in data], float)
-    x = np.stack([np.ones(len(y)), np.minimum([r[1] for r in data], 12.0), np.log1p([r[2] for r in data])], 1)
+    x = np.stack([np.ones(len(y)), _curve(np.array([r[1] for r in data], float)), np.log1p([r[2] for r in data])], 1)
     penalty = np.diag([1e-3, 0.05, 0.05])
     for use in ([0, 1, 2], [0, 1], [0, 2], [0]):
         w = np.zeros(len(use))
@@ -273,7 +277,7 @@ def _scorer(model: Model, labelled: bool = False):
                 words = text.lower().split()
                 found = segments(_hits(words, memo), model.drift)
                 top, many = _evidence(model, len(words), found)
-                best.append(min(top, 12.0))
+                best.append(top)
                 passages.append(many)
                 if not labelled:
                     spans.append(_passages(model, text, len(words), found) if many else [])
