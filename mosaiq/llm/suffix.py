@@ -14,27 +14,28 @@ sorted, in blocks:
    bytes (its first eight, then its hash), so that every partition has about ``part_rows`` blocks. A
    minimizer with more than that many blocks gets several partitions.
 4. Each partition sorts its blocks by multikey quicksort over words (leading bytes, minimizer, block,
-   document, place). Blocks equal to an earlier one are repeated as a whole. The first of each kind are
+   document). Blocks equal to an earlier one are repeated as a whole. The first of each kind are
    compared window by window with the others of their minimizer. All equalities are confirmed on bytes.
 5. Where a minimizer has several partitions, windows that are first in their own partition are compared
-   across the boundaries by a grouped minimum, one row a window and partition at most.
+   across the boundaries, on their bytes: one row a window and partition at most.
 
-Edge cases: a null text is empty; texts shorter than ``length`` keep all; documents are ordered by id,
-null last; different texts with one id are ordered by a hash of the text; of repeated rows (same id
-and text) the first counts as the original. An empty table gives an empty result.
+Edge cases: a null text is empty; texts shorter than ``length`` keep all; very long texts are cut into
+overlapping pieces of 1 MB; ids may be of any type that can be ordered, null ids come last, and rows with
+the same id are ordered by their text; of repeated rows (same id and text) one counts as the original. An
+empty table gives an empty result. Only the id and text columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace
 
 from .arrow import limit_batches, raw, slices, tidy
-from .common import text_or_empty
+from .common import numbered
 from .hashing import byte_table, mix, prefixes, ranges
 
 LENGTH = 100
@@ -45,7 +46,6 @@ PART_ROWS = 20_000
 #: Bits in the table of repeated minimizers: 16 for each, within these bounds (8 KB to 64 MB).
 MIN_BITS, MAX_BITS = 16, 29
 SPLIT_SAMPLE = 50_000
-NULL_ID = (1 << 63) - 1
 
 
 def _minimizer_hashes(flat: np.ndarray) -> np.ndarray:
@@ -128,7 +128,7 @@ class Partition:
     def __init__(self, table: pa.Table, length: int):
         self.length = length
         number = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
-        self.doc, self.tag, self.low, self.at = (number(n) for n in ("doc", "tag", "low", "at"))
+        self.doc, self.low, self.at = (number(n) for n in ("doc", "low", "at"))
         self.split = bool(number("split")[0])
         body = table.column("body").combine_chunks()
         body = body if isinstance(body, pa.Array) else pa.concat_arrays(body.chunks)
@@ -162,7 +162,7 @@ class Partition:
         return out
 
     def solve(self):
-        """Repeated windows as (rows, first, last) and, in a split minimizer, first windows as (rows, place, a, hash)."""
+        """Repeated windows as (rows, first, last) and, in a split minimizer, first windows as (rows, place, a, bytes)."""
         n = len(self.seed)
         mark = np.zeros(n, np.uint64)
 
@@ -170,7 +170,7 @@ class Partition:
             mark[rows] = mix(ranges(prefix, offset, offset + self.size[rows]) + self.at[rows].astype(np.uint64))
 
         self.hashed(np.arange(n), whole)
-        order = multikey_order([self.lead, self.seed, mark, self.doc, self.tag, self.low])
+        order = multikey_order([self.lead, self.seed, mark, self.doc, self.low])
         lead, seed, mark = self.lead[order], self.seed[order], mark[order]
         new_seed = np.ones(n, bool)
         new_seed[1:] = (lead[1:] != lead[:-1]) | (seed[1:] != seed[:-1])
@@ -181,7 +181,7 @@ class Partition:
         a, b = order[later], original[later]
         true = (self.size[a] == self.size[b]) & (self.at[a] == self.at[b])
         true[true] = self.equal(self.ends[a[true]], self.ends[b[true]], self.size[a[true]])
-        itself = (self.doc[a] == self.doc[b]) & (self.tag[a] == self.tag[b]) & (self.low[a] == self.low[b])
+        itself = (self.doc[a] == self.doc[b]) & (self.low[a] == self.low[b])
         copies = a[true & ~itself]
         yield "repeat", copies, self.low[copies], self.low[copies] + self.size[copies] - self.length
         leader = new_mark.copy()
@@ -192,7 +192,7 @@ class Partition:
         if not len(chosen):
             return
         rows, group = order[chosen], group[chosen]
-        by_place = np.lexsort((self.low[rows], self.tag[rows], self.doc[rows]))
+        by_place = np.lexsort((self.low[rows], self.doc[rows]))
         rows, group = rows[by_place], group[by_place]
         count = self.size[rows] - self.length + 1
         owner = np.repeat(np.arange(len(rows)), count)
@@ -234,33 +234,22 @@ class Partition:
         yield "repeat", rows[owner[b]], self.low[rows[owner[b]]] + shift[b], self.low[rows[owner[e]]] + shift[e]
         if self.split:
             w = np.flatnonzero(~repeated)
-            yield "first", rows[owner[w]], self.low[rows[owner[w]]] + shift[w], (away[w], word[w].view(np.int64))
+            for k in range(0, len(w), 10_000):  # a window has 100 bytes
+                part = w[k : k + 10_000]
+                body = gather(self.flat, place[part], np.full(len(part), self.length))
+                ends = pa.py_buffer((np.arange(len(part) + 1) * self.length).astype(np.int32))
+                body = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, ends, pa.py_buffer(body)])
+                yield "first", rows[owner[part]], self.low[rows[owner[part]]] + shift[part], (away[part], body)
 
 
-def _doc(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+_FOUND = "doc long, start long, stop long, seed long, away long, body binary"
 
 
-def _tag(text: Column, repeats: bool) -> Column:
-    """What tells texts with one id apart; 0 where ids do."""
-    return F.xxhash64(text) if repeats else F.lit(0).cast("long")
-
-
-def _repeats(docs: DataFrame, id_col: str) -> bool:
-    return not docs.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty()
-
-
-_FOUND = "doc long, tag long, start long, stop long, seed long, away long, word long"
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, part_rows: int = PART_ROWS) -> tuple[Workspace, DataFrame]:
-    """The workspace and (doc, tag, start, stop): from start to stop, all windows of a document are repeated."""
+def repeated_spans(ws: Workspace, rows: DataFrame, length: int = LENGTH, part_rows: int = PART_ROWS) -> DataFrame:
+    """(doc, start, stop) of (doc, text): from start to stop, all windows of a document are repeated."""
     if not SEED_BYTES <= length <= 1000:
         raise ValueError("strings have 32 to 1000 bytes")
-    spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "suffix")
-    limit_batches(spark)
-    text = text_or_empty(text_col).cast("binary")
-    rows = docs.select(_doc(id_col).alias("doc"), _tag(text, _repeats(docs, id_col)).alias("tag"), text.alias("text"))
+    spark, rows = rows.sparkSession, rows.select("doc", "text")
 
     def count(batches):
         for batch in slices(batches, "text", PIECE):
@@ -299,8 +288,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def scatter(batches):
         known, splitters, hot_keys, hot_width, hot_base = shared.value
         for batch in slices(batches, "text", PIECE):
-            flat, ends = raw(batch.column(2))
-            docs_, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            flat, ends = raw(batch.column(1))
+            docs_ = batch.column(0).to_numpy()
             for piece, start, hashes, place, low, high in blocks(flat, ends, length):
                 seed = hashes[place]
                 slot_ = seed & np.uint64((1 << bits) - 1)
@@ -321,8 +310,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     part = np.where(split, hot_base[spot] + salt.astype(np.int64), part)
                 size = high - low + length
                 body = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(gather(piece, low, size))])
-                arrays = [part.astype(np.int32), docs_[row], tags[row], low + start - ends[row], place - low, split]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), body], ["part", "doc", "tag", "low", "at", "split", "body"])
+                arrays = [part.astype(np.int32), docs_[row], low + start - ends[row], place - low, split]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), body], ["part", "doc", "low", "at", "split", "body"])
 
     def solve(batches):
         batches = [b for b in batches if b.num_rows]
@@ -331,31 +320,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         part = Partition(pa.Table.from_batches(batches), length)
         del batches
         for kind, r, start, more in part.solve():
-            stop, seed, away, word = (more, None, None, None) if kind == "repeat" else (start, part.seed[r], *more)
+            stop, seed, away, body = (more, None, None, None) if kind == "repeat" else (start, part.seed[r], *more)
             for k in range(0, len(r), 100_000):
                 s = slice(k, k + 100_000)
                 empty = pa.nulls(len(r[s]), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.doc[r[s]]), pa.array(part.tag[r[s]]), pa.array(start[s]), pa.array(stop[s]), *(empty if x is None else pa.array(x[s]) for x in (seed, away, word))],
-                    ["doc", "tag", "start", "stop", "seed", "away", "word"],
+                    [pa.array(part.doc[r[s]]), pa.array(start[s]), pa.array(stop[s]), *(empty if x is None else pa.array(x[s]) for x in (seed, away)), pa.nulls(len(r[s]), pa.binary()) if body is None else body],
+                    ["doc", "start", "stop", "seed", "away", "body"],
                 )
 
-    spread = rows.mapInArrow(tidy(scatter), "part int, doc long, tag long, low long, at long, split boolean, body binary")
+    spread = rows.mapInArrow(tidy(scatter), "part int, doc long, low long, at long, split boolean, body binary")
     found = ws.save(spread.repartitionById(parts, F.col("part")).drop("part").mapInArrow(tidy(solve), _FOUND), "found")
     ws.drop("seeds")
-    across = Window.partitionBy("seed", "away", "word").orderBy("doc", "tag", "start")
+    across = Window.partitionBy("seed", "away", "body").orderBy("doc", "start")
     rest = found.filter("seed is not null").withColumn("k", F.rank().over(across)).filter("k > 1")
-    spans = found.filter("seed is null").unionByName(rest.drop("k")).select("doc", "tag", "start", "stop")
-    return ws, spans
+    return found.filter("seed is null").unionByName(rest.drop("k")).select("doc", "start", "stop")
 
 
 def _trim(length: int):
     def work(batches):
         for batch in slices(batches, "text"):
             spans, kept = [], []
-            for data, found, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                if copy and len(data) >= length:
-                    found = [{"start": 0, "stop": len(data) - length}]
+            for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 runs: list[list[int]] = []
                 for start, stop in sorted((f["start"], f["stop"] + length) for f in found or ()):
                     if runs and start <= runs[-1][1]:
@@ -375,17 +361,12 @@ def _trim(length: int):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, part_rows: int = PART_ROWS) -> DataFrame:
     """One row a document: doc_id, n_bytes, spans (removed runs of bytes, ends exclusive), kept (the other bytes)."""
-    ws, spans = repeated_spans(docs, id_col, text_col, length, part_rows)
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    text = text_or_empty(text_col).cast("binary")
-    repeats = _repeats(docs, id_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _tag(text, repeats).alias("tag"), _doc(id_col).alias("doc"))
-    joined = rows.join(spans, ["doc", "tag"], "left")
-    copy = F.lit(False)
-    if repeats:
-        copy = F.row_number().over(Window.partitionBy("doc", "tag").orderBy("doc")) > 1
+    ws = Workspace(docs.sparkSession, "suffix")
+    limit_batches(docs.sparkSession)
+    rows = numbered(ws, docs, id_col, text_col)
+    spans = repeated_spans(ws, rows, length, part_rows).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "found", copy.alias("copy")).mapInArrow(
+    return rows.join(spans, "doc", "left").select("doc_id", "text", "found").mapInArrow(
         tidy(_trim(length)), f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"
     )
 
