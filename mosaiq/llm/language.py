@@ -12,10 +12,15 @@ The posterior of a language given a document is proportional to
 Priors and suffix likelihoods are grouped sums of text posteriors over the whole table. Trigram models
 are trained on a bounded sample of rows with a known language (``max_rows``, in order of a hash of ids).
 
-A document is rejected if it has no letter, or if no language reaches ``min_posterior``. Edge cases: a
-null or empty text has no evidence but the priors and is rejected for want of letters; a null host,
-address or declaration is no evidence; an empty table gives an empty result; repeated rows are judged
-alike.
+A document is rejected if it has no letter, if no language reaches ``min_posterior``, or if no language
+explains its trigrams better than chance (all trigrams alike), by ``min_gain`` a trigram: so is text in
+none of the known languages. Declarations count by their whole first subtag (``fil-PH`` is ``fil``).
+
+Edge cases: a null or empty text has no evidence but the priors and is rejected for want of letters; very
+long texts count whole, by their mean; a null host, address or declaration is no evidence; of languages
+with the same posterior the first by code point is named; repeated rows and null ids are judged like any
+others; without any row of a known language all are rejected; an empty table gives an empty result. Rows
+that stay are packed into one column while they are joined, so extra columns of any name never clash.
 """
 
 from __future__ import annotations
@@ -31,15 +36,17 @@ from pyspark.sql import functions as F
 from mosaiq.plans.workspace import Workspace, fits
 
 from .arrow import limit_batches, raw, slices, tidy
-from .common import BROADCAST_ROWS, text_or_empty
+from .common import BROADCAST_ROWS, packed, text_or_empty, unpacked
 
 MAX_ROWS = 4_000
-MAX_LANGUAGES = 64
 BUCKETS = 1 << 15
 MAX_EVIDENCE = 40.0
 DECLARED_TRUST = 0.9
 PRIOR_STRENGTH = 20.0
 MIN_POSTERIOR = 0.5
+MIN_GAIN = 0.0
+#: Second labels under which countries register names.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 #: Hosts up to which their priors are broadcast.
 BROADCAST_HOSTS = 200_000
 
@@ -115,7 +122,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found: dict[str, np.ndarray] = {}
     for lang, bucket, n in counts.collect():
         found.setdefault(lang, np.zeros(BUCKETS))[bucket] = n
-    languages = sorted(sorted(found, key=lambda x: -found[x].sum())[:MAX_LANGUAGES])
+    languages = sorted(found)  # no more than there are rows in the sample
     if not languages:
         return TextModel([], np.zeros((BUCKETS, 0)))
     table = np.stack([found[x] for x in languages], 1) + 0.05
@@ -123,14 +130,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def host_levels(address: Column) -> tuple[Column, Column, Column]:
-    """Host, registered domain (its last two labels) and suffix (its last label) of an address."""
+    """Host, registered domain and suffix (its last label) of an address.
+
+    A domain is the last two labels, or three where a country's second label is one of ``SECOND_LABELS``.
+    """
     host = F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     host = F.when(F.length(host) > 0, host)
-    domain = F.substring_index(host, ".", -2)
+    shared = host.rlike(r"\.(" + "|".join(SECOND_LABELS) + r")\.[a-z]{2}$")
+    domain = F.when(shared, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
     return host, domain, F.substring_index(host, ".", -1)
 
 
-def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None, max_evidence: float = MAX_EVIDENCE, declared_trust: float = DECLARED_TRUST, prior_strength: float = PRIOR_STRENGTH, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
+def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None, max_evidence: float = MAX_EVIDENCE, declared_trust: float = DECLARED_TRUST, prior_strength: float = PRIOR_STRENGTH, min_posterior: float = MIN_POSTERIOR, min_gain: float = MIN_GAIN) -> DataFrame:
     """One row a document: id, language, posterior, kept."""
     limit_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "language")
@@ -142,7 +153,7 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
         host.cast("string").alias("host"),
         domain.cast("string").alias("domain"),
         suffix.cast("string").alias("suffix"),
-        F.lower(F.substring(F.trim(declared.cast("string")), 1, 2)).alias("declared"),
+        F.regexp_extract(F.lower(F.trim(declared.cast("string"))), "^[a-z]+", 0).alias("declared"),
     )
     languages, log_prob = model.languages, model.log_prob.astype(np.float32)
     width = len(languages)
@@ -161,6 +172,8 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
                 mean[some, k] = (sums[start[1:][some]] - sums[start[:-1][some]]) / counts[some]
             tally = np.concatenate([[0], np.cumsum(letters[flat])])
             alive = tally[ends[1:]] > tally[ends[:-1]]
+            if width:
+                alive &= mean.max(1) + math.log(BUCKETS) > min_gain
             evidence = mean * np.minimum(counts, max_evidence)[:, None]
             evidence[~alive] = 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * width, pa.int32()), pa.array(evidence.ravel(), pa.float64()))
@@ -211,9 +224,10 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
     base = F.array(*[F.lit(math.log(x)) for x in root])
     zero = F.array(*[F.lit(0.0)] * width)
     codes = F.array(*[F.lit(x) for x in languages])
+    subtags = F.array(*[F.lit(x.lower().replace("_", "-").split("-")[0]) for x in languages])
     said = F.when(
-        F.array_contains(codes, F.col("declared")),
-        F.transform(codes, lambda x: F.when(x == F.col("declared"), math.log(declared_trust)).otherwise(math.log((1 - declared_trust) / max(width - 1, 1)))),
+        F.array_contains(subtags, F.col("declared")),
+        F.transform(subtags, lambda x: F.when(x == F.col("declared"), math.log(declared_trust)).otherwise(math.log((1 - declared_trust) / max(width - 1, 1)))),
     ).otherwise(zero)
     add = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
     fused = add(add(F.col("evidence"), said), F.coalesce("prior", add(base, F.coalesce("suffix_score", zero))))
@@ -232,19 +246,16 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col
 def keep_identified(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", **evidence) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with all their columns.
 
-    Rows are told apart by id, text and host, so repeated or null ids do no harm. The rejected are
+    Rows are told apart by id, text and evidence, so repeated or null ids do no harm. The rejected are
     broadcast if they are few, else joined.
     """
-    host = evidence.get("host")
-    key = F.struct(
-        F.col(id_col).alias("i"),
-        F.xxhash64(text_or_empty(text_col)).alias("t"),
-        (F.lit(None).cast("string") if host is None else host.cast("string")).alias("h"),
-    )
-    keyed = docs.withColumn("_key", key)
+    columns = {name: evidence.pop(name) for name in ("host", "domain", "suffix", "declared") if evidence.get(name) is not None}
+    shown = [c.cast("string").alias(name) for name, c in columns.items()]
+    key = F.struct(F.col(id_col).alias("i"), F.xxhash64(text_or_empty(text_col)).alias("t"), F.struct(F.lit(0), *shown).alias("e")).alias("key")
     ws = Workspace(docs.sparkSession, "language-rejects")
-    judged = identify(keyed, model, "_key", text_col, **evidence)
-    rejected = ws.save(judged.filter("not kept").select(F.col("_key").alias("_gone")).distinct(), "rejected")
+    slim = docs.select(key, text_or_empty(text_col).alias("text"), *shown)
+    judged = identify(slim, model, "key", "text", **{name: F.col(name) for name in columns}, **evidence)
+    rejected = ws.save(judged.filter("not kept").select(F.col("key").alias("gone")).distinct(), "rejected")
     if fits(rejected, BROADCAST_ROWS):
         rejected = F.broadcast(rejected)
-    return keyed.join(rejected, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti").drop("_key")
+    return unpacked(packed(docs, key).join(rejected, F.col("key").eqNullSafe(F.col("gone")), "left_anti"), docs.columns)
