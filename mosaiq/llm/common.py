@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from mosaiq.plans.workspace import Workspace
+from mosaiq.plans.workspace import Workspace, fits
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +32,37 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows of a group from which on it is joined by broadcast and not by its key.
+LARGE_GROUP = 1_000
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """``row``, all columns of ``docs`` in one, and further columns: no name can clash in a join with these."""
+    return docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row"), *more)
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that were packed."""
+    return rows.select(*[F.col(f"row.{_quoted(c)}").alias(c) for c in columns])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of their group (``size``: its rows). Rows of large groups stay where they are.
+
+    There is one large group for ``LARGE_GROUP`` rows at most; if even these are too many to be sent to all
+    tasks, there is no group that many tasks' share of the rows falls into, and all are joined by key.
+    """
+    large = groups.filter(F.col(size) >= LARGE_GROUP)
+    if not fits(large, BROADCAST_ROWS):
+        return rows.join(groups, keys)
+    others = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) < LARGE_GROUP), keys)
+    return rows.join(F.broadcast(large), keys).unionByName(others)
+
+
 def numbered(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc, text): every row with its text as bytes and a number of its own, in the order of ids.
 

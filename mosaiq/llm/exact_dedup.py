@@ -13,7 +13,9 @@ compared bytes and not on luck.
 
 Edge cases: a null text is the empty text, which is one empty block. Of equal texts the row with the
 smallest id stays, ids that are null come last, and of rows with the same id an arbitrary one stays.
-An empty table gives an empty result. Only the id and text columns are read, so extra columns never clash.
+Very long texts are many blocks, cut in segments. An empty table gives an empty result. Only the id and text
+columns are read, and rows that stay are packed into one column while they are joined, so extra columns of
+any name never clash.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace, dense_names, fits
 
-from .common import BROADCAST_ROWS, WHITESPACE, bind, text_or_empty
+from .common import BROADCAST_ROWS, WHITESPACE, bind, join_groups, packed, text_or_empty, unpacked
 
 BLOCK_BYTES = 4096
 #: Texts are first cut into segments of this many blocks, so that very long ones aren't copied once a block.
@@ -117,10 +119,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    ids = identify(docs, id_col, text_col, block_bytes)
+    ws = Workspace(docs.sparkSession, "exact-groups")
+    ids = ws.save(identify(docs, id_col, text_col, block_bytes), "ids")
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     groups = ids.groupBy("level", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-    return ids.join(groups, ["level", "name"]).select(
+    return join_groups(ids, ws.save(groups, "groups"), ["level", "name"], "group_size").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
@@ -131,10 +134,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", limit: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` without the (non-null) ids in ``dropped``: a broadcast if that has at most ``limit`` rows, else a join."""
-    gone = dropped.select(F.col(dropped.columns[0]).alias("_gone"))
+    gone = dropped.select(F.col(dropped.columns[0]).alias("gone"))
     if fits(gone, limit):
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    rows = packed(docs, F.col(id_col).alias("id"))
+    return unpacked(rows.join(gone, F.col("id") == F.col("gone"), "left_anti"), docs.columns)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -146,7 +150,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = ws.save(exact_duplicates(docs, id_col, text_col, block_bytes), "found")
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
         return drop_ids(docs, found.filter("not kept").select("doc_id"), id_col)
-    keys = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_key", F.sha2(normalised(text_col).cast("binary"), 256))
-    same = marked[id_col].eqNullSafe(keys["_id"]) & (marked["_key"] == keys["_sha"])
-    return marked.join(keys, same, "left_semi").dropDuplicates([id_col, "_key"]).drop("_key")
+    keys = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    rows = packed(docs, F.col(id_col).alias("id"), F.sha2(normalised(text_col).cast("binary"), 256).alias("sha"))
+    stay = rows.join(keys, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return unpacked(stay.dropDuplicates(["id", "sha"]), docs.columns)

@@ -18,8 +18,10 @@ followed by its samples. The store keeps every chunk once:
 Only texts that share chunks move. Which rows own, borrow or skip is broadcast if that table is small
 (``BROADCAST_BYTES``), otherwise it is joined with the texts.
 
-Edge cases: a null text is empty, and an empty one is 576 bytes 255; repeated rows and rows with null ids
-are media like any others; an empty table gives an empty result.
+Edge cases: a null text is empty, and an empty one is 576 bytes 255; repeated rows, rows with null ids and
+rows with equal texts have one media, kept by the row with the smallest id (null last); very long texts are
+cut whole and stored as one row; an empty table gives an empty result. Only the id and text columns are
+read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from mosaiq.plans.workspace import Workspace
 
 from .arrow import limit_batches, raw, slices, tidy
-from .common import text_or_empty
+from .common import join_groups, text_or_empty
 from .hashing import constants
 
 UNIT = 576
@@ -223,16 +225,6 @@ def _run(stored: DataFrame, work, schema: str) -> DataFrame:
     return whole.mapInArrow(tidy(work), schema).unionByName(parted.mapInArrow(tidy(work), schema))
 
 
-def restore(stored: DataFrame) -> DataFrame:
-    """(media, manifest, samples) put together from stored chunks and verified."""
-
-    def work(batches):
-        for rows in rebuilt(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["media", "manifest", "samples"])
-
-    return _run(stored, work, "media binary, manifest binary, samples binary")
-
-
 def described(stored: DataFrame) -> DataFrame:
     """(media, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of samples read back."""
 
@@ -253,4 +245,6 @@ def described(stored: DataFrame) -> DataFrame:
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_bytes and the description of its media as read back from the store."""
     seen, stored = store(docs, id_col, text_col)
-    return seen.join(described(stored), "media").drop("media")
+    sizes = seen.groupBy("media").agg(F.count("*").alias("n"))
+    told = described(stored).join(sizes, "media")
+    return join_groups(seen, Workspace(docs.sparkSession, "media-told").save(told, "told"), ["media"], "n").drop("media", "n")

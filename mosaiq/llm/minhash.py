@@ -18,8 +18,10 @@ linked if their sets' Jaccard similarity is at least 0.75, and groups are connec
 
 Sets are compared by 64-bit hashes of their shingles. Edge cases: a null text or one without words has
 an empty set and is linked with nothing; with fewer than five words the whole sequence is the one
-shingle; equal rows are linked as any others; rows with null ids take part in groups, whose id is the
-smallest that isn't null.
+shingle; equal rows are linked as any others, and ties between members go to the smallest id; rows with null
+ids take part in groups, whose id is the smallest that isn't null; very long texts are hashed whole, 256 KB at
+a time; an empty table gives an empty result. Rows that stay are packed into one column while they are joined,
+so extra columns of any name never clash.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from mosaiq.plans.workspace import Workspace, fits
 
 from .arrow import limit_batches, raw, slices, tidy
-from .common import BROADCAST_ROWS, text_or_empty
+from .common import BROADCAST_ROWS, join_groups, packed, text_or_empty, unpacked
 from .exact_dedup import drop_ids
 from .graph import components
 from .hashing import constants, mix, shingle_hashes, word_hashes
@@ -251,7 +253,7 @@ class Linker:
     """Verified links between classes, step by step."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        self.docs, self.id_col, self.text_col = docs, id_col, text_col
+        self.docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
         self.ws = Workspace(docs.sparkSession, "near")
         rows = sketch(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
         self.rows = self.ws.save(rows, "rows")
@@ -311,10 +313,10 @@ class Linker:
     def _full_sets(self, rows: DataFrame) -> DataFrame:
         """(node, members) of the nodes in ``rows`` (row), from their texts."""
         wanted = self.ws.save(self.nodes.join(rows.distinct(), "row").select("row", "doc_id", "k1", "k2"), self.name("wanted"))
-        ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
+        ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
         if fits(ids, BROADCAST_ROWS):
             ids = F.broadcast(ids)
-        some = self.docs.join(ids, self.docs[self.id_col].eqNullSafe(ids["_wanted"]), "left_semi")
+        some = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
 
         def work(batches):
             for batch in slices(batches):
@@ -327,7 +329,7 @@ class Linker:
                         found.append(members.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(found, pa.binary())], ["k1", "k2", "members"])
 
-        sets = some.select(text_or_empty(self.text_col).cast("binary").alias("text")).mapInArrow(tidy(work), "k1 long, k2 long, members binary")
+        sets = some.select("text").mapInArrow(tidy(work), "k1 long, k2 long, members binary")
         sets = sets.join(wanted.select("row", "k1", "k2"), ["k1", "k2"]).select(F.col("row").alias("node"), "members")
         if not fits(wanted.groupBy("doc_id").count().filter("count > 1"), 0) or self._repeats():
             sets = sets.dropDuplicates(["node"])
@@ -389,8 +391,8 @@ class Linker:
         placed = self.ws.save(placed.select("doc_id", "tag", "row", "n_shingles", "label"), "placed")
         self.ws.keep("placed")
         order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
-        groups = placed.groupBy("label").agg(F.min(order).alias("m"))
-        return placed.join(groups, "label").select("doc_id", "tag", "n_shingles", F.col("m.doc_id").alias("component_id"), (F.col("row") == F.col("m.row")).alias("first"))
+        groups = self.ws.save(placed.groupBy("label").agg(F.min(order).alias("m"), F.count("*").alias("n")), "groups")
+        return join_groups(placed, groups, ["label"], "n").select("doc_id", "tag", "n_shingles", F.col("m.doc_id").alias("component_id"), (F.col("row") == F.col("m.row")).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -404,7 +406,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = linker.ws.save(linker.result(), "found")
     if not linker._repeats():
         return drop_ids(docs, found.filter("not first").select("doc_id"), id_col)
-    keys = found.filter("first").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-    marked = docs.withColumn("_key", F.xxhash64(text_or_empty(text_col).cast("binary")))
-    same = marked[id_col].eqNullSafe(keys["_id"]) & (marked["_key"] == keys["_tag"])
-    return marked.join(keys, same, "left_semi").dropDuplicates([id_col, "_key"]).drop("_key")
+    keys = found.filter("first").select(F.col("doc_id").alias("kept_id"), F.col("tag").alias("kept_tag"))
+    rows = packed(docs, F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col).cast("binary")).alias("tag"))
+    stay = rows.join(keys, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("tag") == F.col("kept_tag")), "left_semi")
+    return unpacked(stay.dropDuplicates(["id", "tag"]), docs.columns)

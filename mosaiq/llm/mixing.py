@@ -12,8 +12,10 @@ bucket (about 1/4096 of a source) is ordered. What remains is one cut-off a sour
 document decides for itself.
 
 Edge cases: a null text has size 0 and is taken 0 words; a null source is a source of its own and the
-last in order; rows with the same id share one hash and are taken or left alike; an empty table gives
-an empty result.
+last in order; rows with the same id (or a null one) share one hash and are taken or left alike; a very long
+text is one row that is taken whole or not; no row is taken more than ``max_epochs`` times; an empty table
+gives an empty result. Extra columns stay as they are: rows are packed into one column while they are joined,
+so that no name can clash.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace, dense_names, fits
 
-from .common import WORD, text_or_empty
+from .common import WORD, packed, text_or_empty, unpacked
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -116,14 +118,16 @@ def plan(sizes: DataFrame, ws: Workspace, weights=WEIGHTS, max_epochs: int = MAX
     )
 
 
-def _with_plan(docs: DataFrame, shares: DataFrame, seed: int, id_col: str, source_col: str) -> DataFrame:
-    """``docs`` with ``_m`` (its source's plan) and ``_times``."""
-    packed = shares.select(F.col("source").alias("_source"), F.struct("source_size", "target", "whole", "cut").alias("_m"))
-    if fits(packed, BROADCAST_SOURCES):
-        packed = F.broadcast(packed)
-    extra = F.when(_draw(seed, id_col) <= F.col("_m.cut"), 1).otherwise(0)
-    joined = docs.join(packed, docs[source_col].eqNullSafe(F.col("_source")))
-    return joined.withColumn("_times", (F.col("_m.whole") + extra).cast("int"))
+def _with_plan(docs: DataFrame, shares: DataFrame, seed: int, id_col: str, source_col: str, max_epochs: int) -> DataFrame:
+    """``row`` (the columns of ``docs``), ``m`` (its source's plan) and ``times``."""
+    plans = shares.select(F.col("source").alias("of"), F.struct("source_size", "target", "whole", "cut").alias("m"))
+    if fits(plans, BROADCAST_SOURCES):
+        plans = F.broadcast(plans)
+    rows = packed(docs, F.col(source_col).alias("from"), _draw(seed, id_col).alias("draw"))
+    joined = rows.join(plans, F.col("from").eqNullSafe(F.col("of")))
+    extra = F.when(F.col("draw") <= F.col("m.cut"), 1).otherwise(0)
+    # Where a source is at its cap, rows of size 0 may draw an extra repetition; they have no more than the others.
+    return joined.select("row", "m", F.least(F.col("m.whole") + extra, F.lit(max_epochs)).cast("int").alias("times"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -134,14 +138,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
         "sizes",
     )
     shares = ws.save(plan(sizes, ws, weights, max_epochs, seed), "plan")
-    return _with_plan(sizes, shares, seed, "doc_id", "source").select(
-        "doc_id",
-        "source",
-        "size",
-        "_m.source_size",
-        F.round("_m.target", 6).alias("target"),
-        F.col("_times").alias("times"),
-        (F.col("_times") * F.col("size")).cast("long").alias("taken"),
+    return _with_plan(sizes, shares, seed, "doc_id", "source", max_epochs).select(
+        "row.doc_id",
+        "row.source",
+        "row.size",
+        "m.source_size",
+        F.round("m.target", 6).alias("target"),
+        "times",
+        (F.col("times") * F.col("row.size")).cast("long").alias("taken"),
     )
 
 
@@ -153,6 +157,5 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
         "sizes",
     )
     shares = ws.save(plan(sizes, ws, weights, max_epochs, seed), "plan")
-    taken = _with_plan(docs, shares, seed, id_col, source_col).filter("_times > 0")
-    copies = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = _with_plan(docs, shares, seed, id_col, source_col, max_epochs).filter("times > 0")
+    return unpacked(taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))), docs.columns)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import bpe, exact_dedup, language, lines, media, minhash, mixing, pii, sql, suffix, toxicity
+from . import bpe, exact_dedup, language, lines, media, minhash, mixing, pii, pipeline, sql, suffix, toxicity
 from .common import read_documents
 
 
@@ -85,7 +83,7 @@ def queries():
         "op9_lines": op9_lines,
         "op10_pii": op10_pii,
         "language_of_pages": language_of_pages,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -13,13 +13,16 @@ from hypothesis import strategies as st
 from mosaiq.llm import exact_dedup, lines, media, minhash, mixing, suffix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, node long, row long"
+#: Names that the operators use, or used, for columns of their own.
+CLASHING = "_gone gone _key key _m m _source of from _times times _copy id kept_id sha kept_sha tag kept_tag draw doc word level name label n _id _tag _doc _null _salt wanted first".split()
 
 
 def frame(spark, texts, ids=None, sources=None):
     """Documents with columns whose names clash with the operators' own."""
+    schema = SCHEMA + "".join(f", `{c}` int" for c in CLASHING)
     ids = list(range(len(texts))) if ids is None else ids
     sources = [f"s{k % 3}" for k in range(len(texts))] if sources is None else sources
-    return spark.createDataFrame([(i, t, "en", s, None, "x", 1, 2) for i, t, s in zip(ids, texts, sources)], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, None, "x", 1, 2, *range(len(CLASHING))) for i, t, s in zip(ids, texts, sources)], schema)
 
 
 def words(rng, n, vocabulary=400):
@@ -92,6 +95,8 @@ def test_mix_matches_its_targets(spark):
         size[r.source] += r.size
         taken[r.source] += r.taken
         target[r.source] = r.target
+        assert r.times <= 3
+    times = {r.doc_id: r.times for r in rows}
     total, order = sum(size.values()), sorted((s for s in size if s is not None)) + [None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
     capped = set()
@@ -107,8 +112,9 @@ def test_mix_matches_its_targets(spark):
         assert abs(target[s] - want) < 1e-5 and abs(taken[s] - want) <= 30
     again = {(r.doc_id, r.taken) for r in mixing.mix(frame(spark, texts, sources=sources).repartition(5)).collect()}
     assert again == {(r.doc_id, r.taken) for r in rows}
-    mixed = mixing.mixed_documents(frame(spark, texts, sources=sources))
-    assert mixed.count() == sum(r.times for r in rows) and mixed.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    docs = frame(spark, texts, sources=sources)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and collections.Counter(mixed.collect()) == collections.Counter({r: n for r in docs.collect() for n in [times[r.doc_id]] if n})
 
 
 def test_mix_of_nothing_and_of_repeated_rows(spark):
@@ -166,6 +172,8 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     docs = frame(spark, [text, text + " b", text, "other words here now yes", None, text], [4, 4, None, 4, None, 9])
     rows = minhash.near_duplicates(docs).collect()
     assert len(rows) == 6 and {r.component_id for r in rows if r.n_shingles > 40} == {4}
+    assert {tuple(r)[8:] for r in minhash.drop_near_duplicates(docs).collect()} == {tuple(range(len(CLASHING)))}
+    assert sorted(map(tuple, minhash.drop_near_duplicates(frame(spark, [text, text + " b", "c"])).collect())) == sorted(tuple(r) for r in frame(spark, [text, "-", "c"]).collect() if r.text != "-")
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted((r.text or "")[:5] for r in kept.collect()) == ["", "a0 a1", "other"]
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
@@ -260,9 +268,101 @@ def test_remove_lines_with_repeated_and_null_ids(spark):
     assert lines.remove_lines(frame(spark, [])).count() == 0
 
 
+def test_lines_and_suffixes_of_documents_with_string_ids(spark):
+    text = "".join(chr(97 + (k * k) % 26) + str(k) for k in range(80))
+    docs = spark.createDataFrame([("b", text + "\na b c d"), ("a", "x\na b c d"), (None, "d c b a"), ("b", text)], "doc_id string, text string")
+    got = sorted((r.doc_id or "", bytes(r.kept).decode()) for r in lines.remove_lines(docs).collect())
+    assert got == [("", ""), ("a", "x\na b c d"), ("b", ""), ("b", text)]  # rows "b" go by their text's hash, one of them second
+    rows = suffix.remove_repeats(docs).collect()
+    assert sorted(len(r.kept) for r in rows if r.doc_id == "b") in ([0, len(text) + 8], [8, len(text)])
+    assert all(r.n_bytes == len(r.kept) for r in rows if r.doc_id != "b")
+
+
+def test_a_word_in_many_lines(spark):
+    """Each line has its own words and one that all have; pairs of lines are similar."""
+    n = 20_000
+    texts = ["\n".join(f"all x{k} y{k} z{k}" + (" w" if k % 2 else "") for k in range(s, s + 1000)) for s in range(0, n, 1000)]
+    texts += ["\n".join(f"z{k} y{k} x{k} all v{k}" for k in range(0, 300, 3))]
+    rows = {r.doc_id: r for r in lines.remove_lines(frame(spark, texts)).collect()}
+    assert [rows[k].n_removed for k in range(len(texts))] == [0] * (len(texts) - 1) + [sum(k % 2 == 0 for k in range(0, 300, 3))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(-5, 1 << 40), st.integers(0, 9), st.integers(-9, 9), st.integers(1, 400), st.integers(0, 50)), min_size=1, max_size=30))
+def test_packets_hold_their_rows(rows):
+    import numpy as np
+
+    doc, line, node, n, pos = (np.array(c, np.int64) for c in zip(*rows))
+    width = lines.image_words(n)
+    want = {"doc": doc, "line": line, "node": node, "n": n, "pos": pos, "word": node.view(np.uint64), "image": np.arange(int(width.sum()), dtype=np.uint64)}
+    got = lines.unpack(lines.WORDS, lines.pack(lines.WORDS, want))
+    assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
+
+
+def test_images_differ_in_no_more_bits_than_sets_in_words():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = []
+    for _ in range(60):
+        line = words(rng, rng.choice([3, 60, 90, 200, 400, 900]), 5000)
+        texts += [" ".join(line), " ".join(line[rng.randrange(len(line) // 5 + 1) :] + words(rng, rng.randrange(9), 5000))]
+    own = lines.Lines(pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], ["text"]), np.zeros(lines.BINS, np.int64))
+    image, _ = own.images()
+    images = lines.Images(own.size, image)
+    x, y = np.triu_indices(len(texts), 1)
+    sets = [set(t.split()) for t in texts]
+    apart = np.array([len(sets[a] ^ sets[b]) for a, b in zip(x, y)])
+    passed, far = images.near(x, y, apart)
+    assert len(passed) == len(x) and (far <= apart).all()
+    assert len(images.near(x, y, np.full(len(x), 20))[0]) < len(x) / 4
+
+
+def test_long_words_that_collide_modulo_2_to_the_64_are_told_apart():
+    import numpy as np
+
+    from mosaiq.llm import hashing
+
+    thue = np.array([bin(k).count("1") % 2 for k in range(1 << 11)], np.uint8)
+    flat = np.concatenate([thue + 97, [32], 98 - thue]).astype(np.uint8)
+    found, _ = hashing.word_hashes(flat, np.array([0, len(flat)]))
+    assert len(set(found.tolist())) == 2
+
+
 # -- media -------------------------------------------------------------------------------------------------
 
 
+def stored_form(data, payload):
+    """Length and digest of the stored form, byte by byte: a manifest and the samples."""
+    import struct
+
+    import numpy as np
+
+    table = (media.constants(256, 31) >> np.uint64(32)).tolist()
+    chunks, start, h = [], 0, 0
+    for k, byte in enumerate(payload):
+        h = (h * 2 + table[byte]) % (1 << 32)
+        size = k + 1 - start
+        if size >= media.LEAST and h % (1 << media.BITS) == 0 or size == media.MOST or k + 1 == len(payload):
+            chunks.append(payload[start : k + 1])
+            start = k + 1
+    head = b"CDC1" + struct.pack("<QQI", len(data), len(payload), len(chunks))
+    head += b"".join(hashlib.blake2b(c, digest_size=20).digest() + struct.pack("<I", len(c)) for c in chunks)
+    return len(head) + len(payload), hashlib.sha256(head + payload).hexdigest()
+
+
+def described(payload):
+    import math
+
+    n, counts = len(payload), collections.Counter(payload)
+    mean = sum(payload) / n
+    deviation = math.sqrt(max(sum(b * b for b in payload) / n - mean * mean, 0))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    step = sum(abs(a - b) for a, b in zip(payload, payload[1:])) / max(n - 1, 1)
+    return f"mean={mean:.4f};std={deviation:.4f};min={min(payload)};max={max(payload)};entropy={entropy:.4f};step={step:.4f}"
+
+
 def test_media_round_trip(spark, monkeypatch):
     monkeypatch.setattr(media, "SALT", 2)
     texts = corpus(5) + ["shared passage " * 400 + str(k) * 700 for k in range(6)]
@@ -280,6 +380,8 @@ def test_media_round_trip(spark, monkeypatch):
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
         alike[data].add((r.media_bytes, r.media_sha256, r.feature))
+        assert (r.media_bytes, r.media_sha256) == stored_form(data, payload)
+        assert r.feature == described(payload)
     assert all(len(v) == 1 for v in alike.values())
 
 
