@@ -294,7 +294,7 @@ def test_packets_hold_their_rows(rows):
 
     doc, line, node, n, pos = (np.array(c, np.int64) for c in zip(*rows))
     width = lines.image_words(n)
-    want = {"doc": doc, "line": line, "node": node, "n": n, "pos": pos, "word": node.view(np.uint64), "image": np.arange(int(width.sum()), dtype=np.uint64)}
+    want = {"doc": doc, "line": line, "node": node, "n": n, "pos": pos, "name": node + 9, "image": np.arange(int(width.sum()), dtype=np.uint64)}
     got = lines.unpack(lines.WORDS, lines.pack(lines.WORDS, want))
     assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
 
