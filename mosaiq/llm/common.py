@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from mosaiq.plans.workspace import Workspace, fits
+from mosaiq.plans.workspace import Workspace
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a two-column key table may be broadcast (about 24 MB as hashed rows).
 BROADCAST_ROWS = 400_000
+#: Binary logarithm of the bits that tell which keys may occur (at most 524,288 words, about 24 MB as hashed rows).
+HINT_BITS = 25
 #: Bytes up to which a table of lists may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -50,19 +52,36 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``rows`` with the columns of their group (``size``: its rows). Rows of large groups stay where they are.
 
-    There is one large group for ``LARGE_GROUP`` rows at most; if even these are too many to be sent to all
-    tasks, there is no group that many tasks' share of the rows falls into, and all are joined by key.
+    Large are groups of ``LARGE_GROUP`` rows, and of more than one in ``limit`` of all rows where that is
+    more. So fewer than ``limit`` groups are sent to all tasks, and none that is joined by key is hot.
     """
-    large = groups.filter(F.col(size) >= LARGE_GROUP)
-    if not fits(large, BROADCAST_ROWS):
-        return rows.join(groups, keys)
-    others = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) < LARGE_GROUP), keys)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = max(LARGE_GROUP, total // limit + 1)
+    large = groups.filter(F.col(size) >= least)
+    others = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) < least), keys)
     return rows.join(F.broadcast(large), keys).unionByName(others)
 
 
+def parted_by_keys(rows: DataFrame, on: list[str], table: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that surely have no partner in ``table`` by ``on`` = ``keys`` (of the same types), and the others.
+
+    A table of ``HINT_BITS`` bits, one for each hash of a key, is sent to all tasks. Its size is fixed; where
+    there are too many keys for it, more rows are among the others. Nulls are keys like any.
+    """
+
+    def slot(columns: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(_quoted(c)) for c in columns]), F.lit(1 << HINT_BITS))
+
+    bits = table.select(slot(keys).alias("slot")).select(F.shiftright("slot", 6).alias("_word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    words = bits.groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
+    told = packed(rows, slot(on).alias("slot")).join(F.broadcast(words), F.shiftright("slot", 6) == F.col("_word"), "left")
+    known = F.coalesce(F.expr("(shiftrightunsigned(_bits, cast(slot & 63 as int)) & 1L) = 1L"), F.lit(False))
+    return unpacked(told.filter(~known), rows.columns), unpacked(told.filter(known), rows.columns)
+
+
 def numbered(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc, text): every row with its text as bytes and a number of its own, in the order of ids.
 

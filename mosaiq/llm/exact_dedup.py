@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.workspace import Workspace, dense_names, fits
 
-from .common import BROADCAST_ROWS, WHITESPACE, bind, join_groups, packed, text_or_empty, unpacked
+from .common import BROADCAST_ROWS, WHITESPACE, bind, join_groups, packed, parted_by_keys, text_or_empty, unpacked
 
 BLOCK_BYTES = 4096
 #: Texts are first cut into segments of this many blocks, so that very long ones aren't copied once a block.
@@ -133,12 +133,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` without the (non-null) ids in ``dropped``: a broadcast if that has at most ``limit`` rows, else a join."""
+    """``docs`` without the (non-null) ids in ``dropped``: a broadcast if that has at most ``limit`` rows.
+
+    Beyond, a bit table of fixed size tells which rows may go, and only these are joined with the ids.
+    """
     gone = dropped.select(F.col(dropped.columns[0]).alias("gone"))
-    if fits(gone, limit):
-        gone = F.broadcast(gone)
     rows = packed(docs, F.col(id_col).alias("id"))
-    return unpacked(rows.join(gone, F.col("id") == F.col("gone"), "left_anti"), docs.columns)
+    if fits(gone, limit):
+        return unpacked(rows.join(F.broadcast(gone), F.col("id") == F.col("gone"), "left_anti"), docs.columns)
+    stay, others = parted_by_keys(rows, ["id"], gone, ["gone"])
+    return unpacked(stay.unionByName(others.join(gone, F.col("id") == F.col("gone"), "left_anti")), docs.columns)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from mosaiq.plans.workspace import Workspace, fits
 
 from .arrow import limit_batches, raw, slices, tidy
-from .common import BROADCAST_ROWS, packed, text_or_empty, unpacked
+from .common import BROADCAST_ROWS, packed, parted_by_keys, text_or_empty, unpacked
 
 MAX_ROWS = 4_000
 BUCKETS = 1 << 15
@@ -247,7 +247,7 @@ def keep_identified(docs: DataFrame, model: TextModel, id_col: str = "doc_id", t
     """The rows of ``docs`` that aren't rejected, with all their columns.
 
     Rows are told apart by id, text and evidence, so repeated or null ids do no harm. The rejected are
-    broadcast if they are few, else joined.
+    broadcast if they are few, else joined with the rows that may be among them.
     """
     columns = {name: evidence.pop(name) for name in ("host", "domain", "suffix", "declared") if evidence.get(name) is not None}
     shown = [c.cast("string").alias(name) for name, c in columns.items()]
@@ -256,6 +256,8 @@ def keep_identified(docs: DataFrame, model: TextModel, id_col: str = "doc_id", t
     slim = docs.select(key, text_or_empty(text_col).alias("text"), *shown)
     judged = identify(slim, model, "key", "text", **{name: F.col(name) for name in columns}, **evidence)
     rejected = ws.save(judged.filter("not kept").select(F.col("key").alias("gone")).distinct(), "rejected")
+    rows, same = packed(docs, key), F.col("key").eqNullSafe(F.col("gone"))
     if fits(rejected, BROADCAST_ROWS):
-        rejected = F.broadcast(rejected)
-    return unpacked(packed(docs, key).join(rejected, F.col("key").eqNullSafe(F.col("gone")), "left_anti"), docs.columns)
+        return unpacked(rows.join(F.broadcast(rejected), same, "left_anti"), docs.columns)
+    stay, others = parted_by_keys(rows, ["key"], rejected, ["gone"])
+    return unpacked(stay.unionByName(others.join(rejected, same, "left_anti")), docs.columns)

@@ -16,7 +16,8 @@ followed by its samples. The store keeps every chunk once:
    checked against its digest, the whole against its length, and features are computed from the samples.
 
 Only texts that share chunks move. Which rows own, borrow or skip is broadcast if that table is small
-(``BROADCAST_BYTES``), otherwise it is joined with the texts.
+(``BROADCAST_BYTES``). Otherwise a bit table of fixed size tells which texts may be among them, and only these
+are joined with it.
 
 Edge cases: a null text is empty, and an empty one is 576 bytes 255; repeated rows, rows with null ids and
 rows with equal texts have one media, kept by the row with the smallest id (null last); very long texts are
@@ -39,12 +40,14 @@ from pyspark.sql import functions as F
 from mosaiq.plans.workspace import Workspace
 
 from .arrow import limit_batches, raw, slices, tidy
-from .common import join_groups, text_or_empty
+from .common import join_groups, parted_by_keys, text_or_empty
 from .hashing import constants
 
 UNIT = 576
 LEAST, BITS, MOST = 256, 9, 4096
 BROADCAST_BYTES = 32 << 20
+#: Media that may be sent to all tasks with their digests and features (about 400 bytes each).
+BROADCAST_MEDIA = 60_000
 #: Borrowers of a chunk for each copy of it in the join.
 SALT = 1_000
 MAGIC = b"CDC1"
@@ -156,11 +159,17 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         .dropDuplicates(["doc_id", "tag"])
     )
     odd = ws.save(odd.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "skip", "borrowed", "lent"), "roles")
-    heft = F.lit(64) + 32 * (F.greatest(F.size("borrowed"), F.lit(0)) + F.greatest(F.size("lent"), F.lit(0)))
+    # Hashed rows: keys and pointers, and 56 bytes for each element of an array.
+    heft = F.lit(160) + F.coalesce(F.octet_length(F.col("_id").cast("string")), F.lit(0)) + 56 * (F.greatest(F.size("borrowed"), F.lit(0)) + F.greatest(F.size("lent"), F.lit(0)))
     weight = odd.agg(F.coalesce(F.sum(heft), F.lit(0))).first()[0]
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
+    columns = ["text", "borrowed", "lent"]
     if weight <= BROADCAST_BYTES:
-        odd = F.broadcast(odd)
-    todo = rows.join(odd, rows["doc_id"].eqNullSafe(odd["_id"]) & (rows["tag"] == odd["_tag"]), "left").filter("skip is null or not skip")
+        todo = rows.join(F.broadcast(odd), same, "left").filter("skip is null or not skip").select(*columns)
+    else:
+        alone, others = parted_by_keys(rows, ["doc_id", "tag"], odd, ["_id", "_tag"])
+        todo = others.join(odd, same, "left").filter("skip is null or not skip").select(*columns)
+        todo = todo.unionByName(alone.select("text", *[F.lit(None).cast(odd.schema[c].dataType).alias(c) for c in columns[1:]]))
 
     def write(batches):
         for batch in slices(batches, "text", SLICE):
@@ -180,7 +189,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], ["media", "n_bytes", "names", "sizes", "owned", "borrowed"])
 
     schema = "media binary, n_bytes long, names array<binary>, sizes array<int>, owned array<struct<name:binary,body:binary,n:bigint>>, borrowed array<struct<name:binary,n:bigint>>"
-    written = todo.select("text", "borrowed", "lent").mapInArrow(tidy(write), schema)
+    written = todo.mapInArrow(tidy(write), schema)
     if not seen.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         written = written.dropDuplicates(["media"])  # a row that occurs twice would store its media twice
     stored = ws.save(written, "store")
@@ -247,4 +256,4 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen, stored = store(docs, id_col, text_col)
     sizes = seen.groupBy("media").agg(F.count("*").alias("n"))
     told = described(stored).join(sizes, "media")
-    return join_groups(seen, Workspace(docs.sparkSession, "media-told").save(told, "told"), ["media"], "n").drop("media", "n")
+    return join_groups(seen, Workspace(docs.sparkSession, "media-told").save(told, "told"), ["media"], "n", BROADCAST_MEDIA).drop("media", "n")

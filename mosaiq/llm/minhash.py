@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from mosaiq.plans.workspace import Workspace, fits
 
 from .arrow import limit_batches, raw, slices, tidy
-from .common import BROADCAST_ROWS, join_groups, packed, text_or_empty, unpacked
+from .common import BROADCAST_ROWS, join_groups, packed, parted_by_keys, text_or_empty, unpacked
 from .exact_dedup import drop_ids
 from .graph import components
 from .hashing import constants, mix, shingle_hashes, word_hashes
@@ -314,9 +314,12 @@ class Linker:
         """(node, members) of the nodes in ``rows`` (row), from their texts."""
         wanted = self.ws.save(self.nodes.join(rows.distinct(), "row").select("row", "doc_id", "k1", "k2"), self.name("wanted"))
         ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
+        some = self.docs
         if fits(ids, BROADCAST_ROWS):
             ids = F.broadcast(ids)
-        some = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+        else:
+            _, some = parted_by_keys(some, ["doc_id"], ids, ["wanted"])
+        some = some.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
 
         def work(batches):
             for batch in slices(batches):
